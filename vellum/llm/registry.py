@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, packing, warc
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op3_packing": packing.op3_packing,
+    "op10_warc": warc.op10_warc,
 }
 ORACLE = {
     "op2_mixing": mixing.OP2_SQL,
+    "op10_warc": warc.OP10_SQL,
 }
 
 
