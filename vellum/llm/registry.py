@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, warc
+from . import licenses, mixing, nearest, packing, warc
 
 QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
     "op2_mixing": mixing.op2_mixing,
     "op3_packing": packing.op3_packing,
+    "op5_nearest": nearest.op5_nearest,
     "op10_warc": warc.op10_warc,
 }
 ORACLE = {
