@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import licenses, linededup, mixing, nearest, packing, quality, warc
+from . import jaccard, licenses, linededup, mixing, nearest, packing, quality, warc
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
     "op2_mixing": mixing.op2_mixing,
     "op3_packing": packing.op3_packing,
+    "op4_jaccard": jaccard.op4_jaccard,
     "op5_nearest": nearest.op5_nearest,
     "op7_quality": quality.op7_quality,
     "op9_linededup": linededup.op9_linededup,
