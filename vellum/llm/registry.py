@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, licenses, linededup, mixing, nearest, packing, quality, warc
+from . import extraction, fingerprints, jaccard, licenses, linededup, mixing, nearest, packing, quality, warc
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_jaccard": jaccard.op4_jaccard,
     "op5_nearest": nearest.op5_nearest,
+    "op6_fingerprints": fingerprints.op6_fingerprints,
     "op7_quality": quality.op7_quality,
+    "op8_extraction": extraction.op8_extraction,
     "op9_linededup": linededup.op9_linededup,
     "op10_warc": warc.op10_warc,
 }
