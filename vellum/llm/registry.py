@@ -22,8 +22,14 @@ ORACLE = {
 }
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return dict(QUERIES)
+    return QUERIES | {"pipeline": pipeline}
 
 
 def oracle_sql():
