@@ -1,17 +1,18 @@
 """Line dedup: winnowing over line hashes, with matches extended both ways.
 
-A repeated run is a stretch of consecutive lines, of at least `least` words, whose lines all stand
-in earlier runs; order is by doc_id, text hash and line. Later repeated runs are deleted, the
-first one stays. How they are found:
+A repeated run is a stretch of consecutive lines, of at least `least` words, that stands earlier in
+the corpus; order is by doc_id, text hash and line. Later repeated runs are deleted, the first one
+stays. Matches that touch are one run, so a short repeated line beside a long one goes with it.
+How they are found:
 
 1. Lines are hashed. A line that occurs once can be in no repeated run, so only stretches of
    lines that occur at least twice, with enough words, go on.
 2. Winnowing: of every window of lines that start within `least` words, the minimum by (number of
    occurrences, hash) is a fingerprint. A repeated run with `least` words holds a whole window, and
-   equal windows choose equal lines, so a fingerprint in each run is guaranteed. Rare lines come
-   first, so a common line does not speak for a run that it merely stands in.
-3. Each fingerprint's position joins the line's first position in the corpus, not all of them: the
-   rows stay linear in the lines, however often a line occurs.
+   equal windows choose equal lines, so a fingerprint in each run is guaranteed.
+3. Each fingerprint's position joins the first position of an equal window in the corpus, not all
+   of them: the rows stay linear in the lines, however often a line occurs, and a common line that
+   stands alone elsewhere is not taken for the run.
 4. From there the match is extended line by line, both ways, to the neighbouring fingerprints.
 
 Only DataFrame functions are used. Counts are pre-aggregated; the table of repeated lines is
@@ -61,33 +62,45 @@ def repeated_lines(every: DataFrame, least: int = LEAST) -> DataFrame:
     return rows.withColumn("total", F.sum("words").over(whole)).where(F.col("total") >= least)
 
 
-def fingerprints(rows: DataFrame, least: int = LEAST) -> DataFrame:
-    """did, tk, stretch, at, first: the window minima, that is the lines chosen by some whole window."""
+def windows(rows: DataFrame, least: int = LEAST) -> DataFrame:
+    """did, tk, stretch, at, mark, content: each whole window by its first line, with the line it chooses and a hash of its lines."""
     stretch = Window.partitionBy("did", "tk", "stretch")
     weight = F.col("words") + 1  # above 0, so that lines start at different places
     rows = rows.withColumn("from", F.sum(weight).over(stretch.orderBy("at")) - weight).withColumn("end", F.sum(weight).over(stretch))
-    chosen = F.min(F.struct("n", "h", "h2", "at", "first")).over(stretch.orderBy("from").rangeBetween(0, least - 1))
-    rows = rows.withColumn("chosen", chosen).where(F.col("from") + least <= F.col("end"))
-    return rows.select("did", "tk", "stretch", F.col("chosen.at").alias("at"), F.col("chosen.first").alias("first")).distinct()
+    frame = stretch.orderBy("from").rangeBetween(0, least - 1)
+    chosen = F.min(F.struct("n", "h", "h2", "at")).over(frame)["at"]
+    content = F.xxhash64(F.collect_list("h").over(frame), F.collect_list("h2").over(frame))
+    rows = rows.select("did", "tk", "stretch", "at", "from", "end", chosen.alias("mark"), content.alias("content"))
+    return rows.where(F.col("from") + least <= F.col("end")).drop("from", "end")
+
+
+def fingerprints(rows: DataFrame, least: int = LEAST) -> DataFrame:
+    """did, tk, m_stretch, mark, s_did, s_tk, s_at, before, after: the minima of windows that stand earlier, the first such place, and the neighbouring minima."""
+    every = common.table(windows(rows, least), "lines-windows")
+    first = every.groupBy(F.col("content").alias("f_content")).agg(F.count("*").alias("times"), F.min(F.struct("did", "tk", "at")).alias("first"))
+    first = common.table(first.where("times > 1").drop("times"), "lines-first")
+    marks = common.join_small(every, first, F.col("content") == F.col("f_content")).where(F.struct("did", "tk", "at") > F.col("first"))
+    there = F.col("first.at") + F.col("mark") - F.col("at")
+    marks = marks.select("did", "tk", F.col("stretch").alias("m_stretch"), "mark", F.col("first.did").alias("s_did"), F.col("first.tk").alias("s_tk"), there.alias("s_at")).distinct()
+    places = marks.groupBy("did", "tk").agg(F.array_sort(F.collect_set("mark")).alias("marks"))
+    marks = marks.join(places, ["did", "tk"])
+    k = F.array_position("marks", F.col("mark")).cast("int")
+    return marks.withColumn("before", F.get("marks", k - 2)).withColumn("after", F.get("marks", k)).drop("marks")
 
 
 def repeated_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """did, tk, runs: array of (start, end), the line ranges to delete from each document that has any."""
     every = common.table(lines(docs), "lines")
     rows = common.table(repeated_lines(every, least), "lines-repeated")
-    marks = fingerprints(rows, least)
-    near = Window.partitionBy("did", "tk", "stretch").orderBy("at")
-    marks = marks.withColumn("before", F.lag("at").over(near)).withColumn("after", F.lead("at").over(near))
-    later = F.struct("did", "tk", "at") > F.col("first")
-    marks = marks.where(later).select("did", "tk", F.col("stretch").alias("m_stretch"), F.col("at").alias("mark"), "before", "after", "first")
+    marks = fingerprints(rows, least).withColumnRenamed("s_at", "m_at")
     own = rows.select("did", "tk", "stretch", "at", "h", "h2", "words")
     between = (F.col("at") > F.coalesce("before", F.lit(-1))) & (F.col("at") < F.coalesce("after", F.lit(2**31 - 1)))
     pairs = marks.join(own, ["did", "tk"]).where((F.col("stretch") == F.col("m_stretch")) & between)
-    pairs = pairs.select("did", "tk", "mark", "at", "h", "h2", "words", F.col("first.did").alias("s_did"), F.col("first.tk").alias("s_tk"), (F.col("first.at") + F.col("at") - F.col("mark")).alias("s_at"))
+    pairs = pairs.select("did", "tk", "mark", "at", "h", "h2", "words", "s_did", "s_tk", (F.col("m_at") + F.col("at") - F.col("mark")).alias("s_at"))
     there = rows.select(F.col("did").alias("s_did"), F.col("tk").alias("s_tk"), F.col("at").alias("s_at"), F.col("h").alias("s_h"), F.col("h2").alias("s_h2"))
     pairs = pairs.join(there, ["s_did", "s_tk", "s_at"], "left")
     same = F.coalesce((F.col("h") == F.col("s_h")) & (F.col("h2") == F.col("s_h2")), F.lit(False))
-    match = Window.partitionBy("did", "tk", "mark")
+    match = Window.partitionBy("did", "tk", "mark", "s_did", "s_tk")
     pairs = pairs.withColumn("low", F.max(F.when(~same & (F.col("at") < F.col("mark")), F.col("at"))).over(match))
     pairs = pairs.withColumn("high", F.min(F.when(~same & (F.col("at") > F.col("mark")), F.col("at"))).over(match))
     held = pairs.where((F.col("at") > F.coalesce("low", F.lit(-1))) & (F.col("at") < F.coalesce("high", F.lit(2**31 - 1))))
