@@ -24,6 +24,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,7 +41,7 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden|aria-label)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp"}
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img script style textarea template svg button select iframe object canvas noscript".split())
 #: Elements that hold nothing of an article.
 NOTHING = {"script", "style", "textarea", "title", "xmp", "head", "nav", "footer", "aside", "form", "noscript", "template", "svg", "button", "select", "iframe", "dialog", "menu", "object", "canvas"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
@@ -192,7 +193,7 @@ def extract(pages: DataFrame) -> DataFrame:
                         path.append(b.path)
                         content.append(b.text)
             if at:
-                h = [pa.array(pd.util.hash_array(pd.array(x, dtype=object), categorize=False).view("int64")) for x in (path, content)]
+                h = [pa.array(pd.util.hash_array(np.array(x, dtype=object), categorize=False).view("int64")) for x in (path, content)]
                 took = batch.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([took.column(0), took.column(1), took.column(2), pa.array(number, pa.int32()), *h], ["pid", "pk", "host", "number", "path", "content"])
 

@@ -118,7 +118,7 @@ def search(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
                     some = part.iloc[at : at + 256]
                     best = block_search(np.stack(some["query"].to_numpy()), some["query_id"].to_numpy(), ids, vectors, bits, held["norm"].to_numpy(), held["along"].to_numpy(), k)
                     out.append(pd.DataFrame({"query_id": some["query_id"].to_numpy(), "q_key": some["q_key"].to_numpy(), "v": some["v"].to_numpy(), "score": [s for s, _ in best], "vec_id": [x for _, x in best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "q_key": [], "v": [], "score": [], "vec_id": []})
+        return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "q_key", "v", "score", "vec_id"], dtype=object)
 
     found = asked.groupBy("q", "v").cogroup(index.groupBy("q", "v")).applyInPandas(run, "query_id long, q_key long, v int, score array<double>, vec_id array<long>")
     best = F.zip_with("score", "vec_id", lambda s, i: F.struct((-s).alias("less"), i.alias("vec_id")))
