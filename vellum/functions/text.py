@@ -124,8 +124,7 @@ def tex_body(text: Column) -> Column:
     """The prose of a TeX source, with citation marks; mathematics, floats and references go."""
     text = strip_comments(text)
     begin, end = r"\\begin\s*\{document\}", r"\\end\s*\{document\}"
-    text = F.when(F.regexp_like(text, F.lit(begin)), F.regexp_replace(text, rf"(?s)^.*?{begin}", "")).otherwise(text)
-    text = F.regexp_replace(text, rf"(?s){end}.*$", "")
+    text = chain(text, [(rf"(?s)\A.*?{begin}", ""), (rf"(?s){end}.*\z", "")])
     environments = [(r"(?s)\\begin\s*\{" + e.replace("*", r"\*") + r"\}.*?\\end\s*\{" + e.replace("*", r"\*") + r"\}", " ") for e in DROPPED_ENVIRONMENTS]
     math = [(r"(?s)\\\[.*?\\\]", " "), (r"(?s)\\\(.*?\\\)", " "), (r"(?s)\$\$.*?\$\$", " "), (r"(?<!\\)\$[^$\n]{0,200}?(?<!\\)\$", " ")]
     text = mark_citations(chain(text, environments + math))

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 BRACE = re.compile(r"[{}]")
 
 
+def on_batches(f, kind: str):
+    """f, from series to series, as a function of a column. The UDF is made when it is used: workers import this module without a session."""
+    return lambda column: F.pandas_udf(f, kind)(column)
+
+
 def _after(text: str, i: int) -> int:
     """Where the group that was opened before i ends: the place after its closing brace, or one past the text."""
     depth = 1
@@ -24,7 +29,6 @@ def braced(heads: str):
     """A function of text: array of (start, end, name, inner) for each match of heads that is followed by a braced argument. Group 1 of heads is the name."""
     pattern = re.compile(heads)
 
-    @F.pandas_udf("array<struct<start:int,end:int,name:string,inner:string>>")
     def find(texts: pd.Series) -> pd.Series:
         def one(text: str) -> list:
             out = []
@@ -36,7 +40,7 @@ def braced(heads: str):
 
         return texts.map(one)
 
-    return find
+    return on_batches(find, "array<struct<start:int,end:int,name:string,inner:string>>")
 
 
 # ---- BibTeX ----
@@ -82,11 +86,13 @@ def entries(text: str) -> list[tuple[str, str, dict[str, str]]]:
     return list(found.values())
 
 
-@F.pandas_udf("array<struct<key:string,type:string,fields:map<string,string>>>")
-def parse_bib(texts: pd.Series) -> pd.Series:
+def _bib(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [(k, kind, f) for k, kind, f in entries(t or "")])
 
 
+parse_bib = on_batches(_bib, "array<struct<key:string,type:string,fields:map<string,string>>>")
+
+
 # ---- reproducibility checklist ----
 
 STEP = re.compile(r"\\(checksubsection|question|ifyespoints)\b|\\(begin|end)\s*\{\s*itemize\s*\}")
@@ -153,15 +159,19 @@ def opens_points(question: str, options: str) -> bool:
     return re.findall("[a-z]+", options.lower()) == ["yes", "no"] and _plain(question).lower().startswith("does this paper")
 
 
-@F.pandas_udf(ITEM)
-def parse_checklist(texts: pd.Series) -> pd.Series:
+def _checklist(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: checklist_items(re.sub(r"(?<!\\)%[^\n]*", "", t or ""), opens_points))
 
 
+parse_checklist = on_batches(_checklist, ITEM)
+
+
 # ---- numbers ----
 
 
-@F.pandas_udf("string")
-def general_format(values: pd.Series) -> pd.Series:
-    """C's %g, which format_string does not give."""
+def _general(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if pd.isna(v) else f"{v:g}")
+
+
+#: C's %g, which format_string does not give.
+general_format = on_batches(_general, "string")

@@ -58,8 +58,7 @@ def resolve(refs: DataFrame, responses: DataFrame, candidates: DataFrame) -> Dat
     strong = seen.where("class = 'strong'").groupBy(*KEY).agg(F.min_by("record", F.struct("step", "item_rank")).alias("strong"), F.min("step").alias("stop"))
     asked = responses.withColumn("step", step()).join(strong.select(*KEY, "stop"), KEY, "left").where("stop IS NULL OR step < stop")
     failed = asked.groupBy(*KEY).agg(F.bool_or(F.col("tag") == "transient").alias("transient"))
-    r = refs.select(*KEY, F.col("year").alias("r_year"))
-    rest = seen.where("class <> 'strong'").join(r, KEY)
+    rest = seen.where("class <> 'strong'")
     gap = F.coalesce(F.abs(F.col("record.year") - F.col("r_year")), F.lit(UNKNOWN_GAP))
     weak = rest.where("class = 'weak'").groupBy(*KEY).agg(F.min_by("record", F.struct(gap, "step", "item_rank")).alias("weak"))
     near = rest.where("class = 'near_miss'").groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "item_rank", describe(F.col("record")).alias("said")))), lambda x: x["said"]).alias("near"))
