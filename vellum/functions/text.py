@@ -45,7 +45,7 @@ def spans(text: Column, pattern: str) -> Column:
 
     def one(m: Column, i: Column) -> Column:
         start = total(F.slice(gaps, F.lit(1), i + 1)) + total(F.slice(hits, F.lit(1), i))
-        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match"))
+        return F.named_struct(F.lit("start"), start, F.lit("end"), start + F.length(m), F.lit("match"), m)
 
     return F.transform(hits, one)
 

@@ -123,21 +123,29 @@ def published_version(rows: DataFrame) -> DataFrame:
     return rows.withColumn("unchecked_now", ask & ~F.col("published_version_checked") & transient)
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+def fuzzy_pairs(left: DataFrame, right: DataFrame, threshold: float = M.TITLE_JACCARD) -> DataFrame:
     """l_id, r_id of titles that match, for a corpus of our own: (id, title) on both sides, joined on rare words.
 
     Two token sets with a Jaccard of at least t share one of the rarest |a| - ceil(t |a|) + 1 tokens of
-    either, so prefixes in the order of rarity lose nothing. Ties are broken by the token itself.
+    either, so prefixes in the order of rarity lose nothing. The place of that token bounds what the
+    two can have in common; pairs below what t needs go before anything is compared, and the
+    rest meet their token sets by id. Ties of rarity are broken by the token itself.
     """
-    words = lambda df, side: df.select(F.col("id").alias(f"{side}_id"), F.col("title").alias(f"{side}_title"), F.array_distinct(F.split(M.norm_title(F.col("title")), " ")).alias("w"))
-    a, b = words(left, "l"), words(right, "r")
-    tokens = a.select(F.explode("w").alias("t")).union(b.select(F.explode("w").alias("t"))).where("t <> ''")
+    words = lambda df: df.select("id", F.array_distinct(F.split(M.norm_title(F.col("title")), " ")).alias("w")).where("w <> array('')")
+    a, b = words(left), words(right)
+    tokens = a.select(F.explode("w").alias("t")).unionAll(b.select(F.explode("w").alias("t")))
     rarity = tokens.groupBy("t").count()
 
     def prefix(df: DataFrame, side: str) -> DataFrame:
-        each = df.select(f"{side}_id", f"{side}_title", F.size("w").alias("n"), F.explode("w").alias("t")).join(rarity, "t")
-        order = F.row_number().over(Window.partitionBy(f"{side}_id", f"{side}_title").orderBy("count", "t"))
-        return each.withColumn("k", order).where(F.col("k") <= F.col("n") - F.ceil(F.lit(M.TITLE_JACCARD) * F.col("n") - 1e-9) + 1).select(f"{side}_id", f"{side}_title", "t")
-
-    pairs = prefix(a, "l").join(prefix(b, "r"), "t").where(M.title_like(F.col("l_title"), F.col("r_title")))
-    return pairs.select("l_id", "r_id").distinct()
+        each = df.select("id", F.size("w").alias("n"), F.explode("w").alias("t")).join(rarity, "t")
+        order = F.row_number().over(Window.partitionBy("id").orderBy("count", "t"))
+        each = each.withColumn("k", order).where(F.col("k") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
+        return each.select("t", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "k")])
+
+    most = 1 + F.least(F.col("l_n") - F.col("l_k"), F.col("r_n") - F.col("r_k"))
+    needed = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("l_n") + F.col("r_n")) - 1e-9)
+    near = (F.col("l_n") >= F.lit(threshold) * F.col("r_n") - 1e-9) & (F.col("r_n") >= F.lit(threshold) * F.col("l_n") - 1e-9)
+    pairs = prefix(a, "l").join(prefix(b, "r"), "t").where(near & (most >= needed)).groupBy("l_id", "r_id").agg(F.min("t"))
+    pairs = pairs.join(a.select(F.col("id").alias("l_id"), F.col("w").alias("x")), "l_id").join(b.select(F.col("id").alias("r_id"), F.col("w").alias("y")), "r_id")
+    common = F.size(F.array_intersect("x", "y"))
+    return pairs.where(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common) - 1e-9).select("l_id", "r_id")
