@@ -85,6 +85,6 @@ def link_ratio(links: DataFrame) -> DataFrame:
 
 def exit_code(coverage: DataFrame, blockers: DataFrame, gate: bool) -> DataFrame:
     """4 for blockers at the gate, else 3 for a gap, else 0."""
-    rows = coverage.join(blockers, "paper_id", "left")
-    blocked = F.lit(gate) & (F.coalesce(F.size("blockers"), F.lit(0)) > 0)
-    return rows.select("paper_id", F.when(blocked, 4).when(F.col("has_coverage_gap"), 3).otherwise(0).alias("exit_code"))
+    rows = coverage.join(blockers, "paper_id", "full_outer")
+    blocked = F.lit(gate) & F.col("blockers").isNotNull()
+    return rows.select("paper_id", F.when(blocked, 4).when(F.coalesce("has_coverage_gap", F.lit(False)), 3).otherwise(0).alias("exit_code"))

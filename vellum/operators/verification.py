@@ -54,6 +54,29 @@ def evidence_marker(abstract_only: Column, evidence: Column) -> Column:
     return F.concat(F.lit(f"prompt={PROMPT_VERSION}|abstract_only="), abstract_only.cast("int").cast("string"), F.lit("|evlen="), F.length(evidence).cast("string"))
 
 
+QUESTION = """Does the cited work support the sentence? First say what the citation is for, then judge it by that.
+
+Sentence: {sentence}
+Bibliography entry: {entry}
+Cited work ({source}): {title}; {authors}; {year}; {venue}
+Evidence ({kind}): {evidence}
+
+Roles, the first that fits: method_attribution (the sentence uses or names a method, tool or dataset: is this the work that defines it?), claim_support (a specific claim: does the evidence bear it out?), background (related work: is it on the topic?).
+Verdicts: supports, partially_supports, does_not_support, abstract_too_thin (the evidence cannot tell).
+A work that defines a method need not hold the results of papers that use it. Say nothing that the evidence does not.
+Answer in JSON: {{"role": ..., "verdict": ..., "rationale": one sentence}}"""
+
+
+def question(rows: DataFrame) -> DataFrame:
+    """Adds question, what a judge that reads is asked about a site."""
+    r = F.col("record")
+    parts = {"sentence": F.col("sentence"), "entry": F.coalesce("raw_text", F.lit("(not extracted)")), "source": r["source"], "title": r["title"], "authors": F.coalesce(T.blank_to_null(F.array_join(F.slice(r["authors"], 1, 5), ", ")), F.lit("(unknown)")), "year": F.coalesce(r["year"].cast("string"), F.lit("(unknown)")), "venue": F.coalesce(T.blank_to_null(r["venue"]), F.lit("(unknown)")), "kind": F.when(F.col("abstract_only"), "abstract").otherwise("from the full text"), "evidence": F.col("evidence")}
+    text = []
+    for piece in QUESTION.replace("{{", "\x00").replace("}}", "\x01").replace("{", "\x02").replace("}", "\x02").split("\x02"):
+        text.append(F.coalesce(parts[piece], F.lit("")) if piece in parts else F.lit(piece.replace("\x00", "{").replace("\x01", "}")))
+    return rows.withColumn("question", F.concat(*text))
+
+
 def coerce(answers: DataFrame) -> DataFrame:
     """raw_verdict, raw_role, raw_rationale, error -> verdict, role, rationale. A failed call is no verdict on the paper."""
     low = lambda c: F.lower(T.strip(F.coalesce(c, F.lit(""))))

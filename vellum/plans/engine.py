@@ -32,6 +32,8 @@ class Inputs:
     venue_rules: DataFrame | None = None
     gate: bool = False
     model: str = "table"
+    #: Families of findings that are not looked for.
+    skip: list[str] = field(default_factory=list)
 
     def get(self, spark: SparkSession, name: str) -> DataFrame:
         return self.given.get(name) or spark.createDataFrame([], EMPTY[name])
@@ -53,7 +55,8 @@ def run(manuscripts: DataFrame, inputs: Inputs | None = None) -> dict[str, DataF
     checked = stored(checklist.audit(items, papers, links), "checked")
     rules = inputs.venue_rules if inputs.venue_rules is not None else submission.venues(spark)
     baseline = inputs.get(spark, "baseline")
-    found = findings.union([anonymity.audit(papers, links), checked, submission.audit_tex(papers, rules, checked, baseline), numbers.audit(papers)])
+    audits = {"anonymization": lambda: anonymity.audit(papers, links), "submission": lambda: submission.audit_tex(papers, rules, checked, baseline), "numeric": lambda: numbers.audit(papers)}
+    found = findings.union([checked, *[make() for family, make in audits.items() if family not in inputs.skip]])
     found = stored(findings.numbered(found), "findings")
 
     resolved = resolution.resolve(refs, inputs.get(spark, "responses"), inputs.get(spark, "candidates"))
@@ -64,7 +67,8 @@ def run(manuscripts: DataFrame, inputs: Inputs | None = None) -> dict[str, DataF
     grouped = stored(coverage.groups(verified), "groups")
     blockers = submission.gate_blockers(found)
     counts = coverage.assessment(spark.createDataFrame([], "paper_id string, severity string, evidence string, issue string"), found.where("family = 'submission'"), grouped)
-    ran = papers.select("paper_id", F.explode(F.when(F.col("checklist_found"), F.array(F.lit("anonymization"), F.lit("checklist"))).otherwise(F.array(F.lit("anonymization")))).alias("family"))
+    ran = F.array_compact(F.array(F.lit(None if "anonymization" in inputs.skip else "anonymization"), F.when(F.col("checklist_found"), "checklist")))
+    ran = papers.select("paper_id", F.explode(ran).alias("family"))
     reviews = report.stitch([
         report.title_section(papers), report.coverage_section(covered), report.finding_sections(found, ran), report.assessment_section(papers, counts),
         report.citation_section(papers, verified, refs), report.hygiene_section(verified, broken, unused, links), report.methodology_section(covered, inputs.model),
