@@ -155,9 +155,9 @@ def _shard_of(two: np.ndarray, shards: int) -> np.ndarray:
 
 
 def compile_model(model: DataFrame, shards: int) -> DataFrame:
-    """The model with n-grams as numbers: lang, n, kind, key, value, shard (-1: in every shard)."""
+    """The model packed: lang, n, kind, shard (-1: in every shard), keys and values as sorted 64- and 32-bit numbers. A row holds at most a shard's n-grams."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for (n, kind), part in pdf.groupby(["n", "kind"]):
                 size = n - (kind == "b")
@@ -165,9 +165,16 @@ def compile_model(model: DataFrame, shards: int) -> DataFrame:
                 shard = np.full(len(part), -1)
                 if n >= 3:
                     shard = _shard_of(points[:, -2:] if kind == "b" else points[:, -3:-1], shards)
-                yield part.assign(key=hashes(points, size), shard=shard)[["lang", "n", "kind", "key", "value", "shard"]]
+                yield part.assign(key=hashes(points, size), shard=shard)[["lang", "n", "kind", "shard", "key", "value"]]
+
+    def pack(group: tuple, rows: pa.Table) -> pa.Table:
+        keys, values = rows.column("key").to_numpy(), rows.column("value").to_numpy()
+        order = np.argsort(keys)
+        cols = [[x.as_py()] for x in group] + [[keys[order].tobytes()], [values[order].astype("<f4").tobytes()]]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["lang", "n", "kind", "shard", "keys", "values"])
 
-    return model.mapInPandas(run, "lang string, n int, kind string, key long, value double, shard long")
+    rows = model.mapInPandas(number, "lang string, n int, kind string, shard long, key long, value double")
+    return rows.groupBy("lang", "n", "kind", "shard").applyInArrow(pack, "lang string, n int, kind string, shard long, keys binary, values binary")
 
 
 def _find(table, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,12 +202,9 @@ def score(docs: DataFrame, model: DataFrame, model_rows: int = MODEL_ROWS) -> Da
     compiled = common.table(compile_model(model, shards), "kn-compiled")
     parts = []
     for s in range(shards):
-        pdf = compiled.where(F.col("shard").isin(s, -1)).toArrow().to_pandas()
-        tables = {}
-        for key, part in pdf.groupby(["lang", "n", "kind"]):
-            order = np.argsort(part["key"].to_numpy())
-            tables[key] = part["key"].to_numpy()[order], part["value"].to_numpy()[order]
+        tables = {(r.lang, r.n, r.kind): (np.frombuffer(r.keys, "<i8"), np.frombuffer(r["values"], "<f4")) for r in compiled.where(F.col("shard").isin(s, -1)).toLocalIterator()}
         shared = spark.sparkContext.broadcast(tables)  # at most model_rows rows and the two lowest orders
+        del tables
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, s=s) -> Iterator[pa.RecordBatch]:
             tables = shared.value
