@@ -38,8 +38,8 @@ FEW = 50
 SLACK = 1.1
 MODEL_ROWS = 2_000_000
 #: Characters worked on at a time, and different n-grams a task holds before it hands counts on.
-CHUNK = 2_000_000
-HOLD = 1_000_000
+CHUNK = 500_000
+HOLD = 500_000
 PAD = "\x02"
 MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,6 +109,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                         yield out()
         if held:
             yield out()
+        common.release()
 
     counted = docs.select("lang", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "lang string, g string, c long")
     return counted.groupBy("lang", "g").agg(F.sum("c").alias("c"))
@@ -208,7 +209,7 @@ def score(docs: DataFrame, model: DataFrame, model_rows: int = MODEL_ROWS) -> Da
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, s=s) -> Iterator[pa.RecordBatch]:
             tables = shared.value
-            for batch in batches:
+            for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
                 langs, texts = np.array(batch.column(2).to_pylist(), object), batch.column(3).to_pylist()
                 total, size = np.full(len(texts), np.nan), np.array([len(t) for t in texts])
                 for lang in set(langs):
@@ -227,6 +228,7 @@ def score(docs: DataFrame, model: DataFrame, model_rows: int = MODEL_ROWS) -> Da
                         n = np.diff(begins) - ORDER + 1
                         total[rows[at]] = np.add.reduceat(p[codes], np.cumsum([0, *n[:-1]]))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(size, pa.int64()), pa.array(total, pa.float64(), from_pandas=True)], ["did", "tk", "lang", "n", "log_p"])
+            common.release()
 
         parts.append(docs.mapInArrow(run, "did long, tk long, lang string, n long, log_p double"))
     out = parts[0]
