@@ -45,6 +45,8 @@ ROUGH = 0.55
 CHUNK_TEXTS = 512
 CHUNK_SHINGLES = 400_000
 COLUMNS = 8192
+#: Rows of a batch turned into Python objects at a time.
+TASK_ROWS = 1000
 LAST_ID = (1 << 63) - 1
 WORD = re.compile(r"\w+")
 MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -104,7 +106,7 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray, n: int, seed: int = 7) ->
     return out
 
 
-def _slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def _slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of a batch of about `most` characters, with the texts of the column."""
     texts, begin, held = batch.column(column).to_pylist(), 0, 0
     for i, t in enumerate(texts):
@@ -134,6 +136,7 @@ def sign(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
                     ids = [np.add.reduceat(_mix(h * m), starts) ^ sizes[at].astype(np.uint64) for m in (MUL, np.uint64(0xD1B54A32D192ED03))]
                 rows = part.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.array(x.view(np.int64)) for x in ids), pa.array(sizes[at], pa.int64()), pa.array([s.tobytes() for s in sig[at]], pa.binary())], ["did", "tk", "set_a", "set_b", "n", "sig"])
+        common.release()
 
     return docs.mapInArrow(run, "did long, tk long, set_a long, set_b long, n long, sig binary")
 
@@ -157,7 +160,7 @@ def chunked(rows: DataFrame, key: list[str], chunks: Column) -> DataFrame:
 def _tasks(batches: Iterator[pa.RecordBatch], key: int, work: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """work's results on each run of rows that agree in the first `key` columns."""
     held, last, out, n = [], None, [], 0
-    for batch in batches:
+    for batch in (b.slice(k, TASK_ROWS) for b in batches for k in range(0, b.num_rows, TASK_ROWS)):
         pdf = batch.to_pandas()
         if not len(pdf):
             continue
@@ -256,6 +259,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tree
     def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pdf in _tasks(batches, 4, rough_edges):
             yield pa.RecordBatch.from_pandas(pdf, preserve_index=False)
+        common.release()
 
     edges = rows.select("tree", "prefix", "i", "j", "second", "rid", "sig").mapInArrow(rough, "u long, v long").distinct()
     groups = common.table(components(edges, "jaccard-rough").withColumnRenamed("root", "grp"), "jaccard-groups")
@@ -273,6 +277,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tree
                 ends = np.cumsum(n)
                 sets = [h[e - k : e].tobytes() for e, k in zip(ends, n)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(4)), pa.array(sets, pa.binary())], ["grp", "rid", "size", "parts", "shingles"])
+        common.release()
 
     sets = texts.select("grp", "rid", "size", "parts", "text").mapInArrow(shingles, "grp long, rid long, size long, parts long, shingles binary")
     sets = sets.dropDuplicates(["rid"])  # a repeated row stands for its class once
@@ -281,6 +286,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tree
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pdf in _tasks(batches, 3, lambda task: verified(task, threshold)):
             yield pa.RecordBatch.from_pandas(pdf, preserve_index=False)
+        common.release()
 
     found = common.table(tasks.mapInArrow(verify, "rid long, links long, least long"), "jaccard-links")
     linked = found.groupBy("rid").agg(F.sum("links").alias("links"))

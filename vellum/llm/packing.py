@@ -47,7 +47,7 @@ def _tokenizer(json_path: str | None, ranks_path: str | None):
     import tiktoken
     from tokenizers import Tokenizer
 
-    full = Tokenizer.from_file(json_path or public_tokenizers.path("byte_bpe_50k.json"))
+    full = cache(lambda: Tokenizer.from_file(json_path or public_tokenizers.path("byte_bpe_50k.json")))
     with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -58,7 +58,7 @@ def _tokenizer(json_path: str | None, ranks_path: str | None):
                 return fast.encode_ordinary(text)
             except Exception:  # its pattern engine gives up on some very long runs
                 pass
-        return full.encode(text, add_special_tokens=False).ids
+        return full().encode(text, add_special_tokens=False).ids
 
     return ids
 
@@ -83,6 +83,7 @@ def tokenise(docs: DataFrame, tokens: int = TOKENS, json_path: str | None = None
                     rows.append((k, start, length, zlib.crc32(ids[start : start + length].tobytes())))
             cols = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        common.release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -39,7 +39,7 @@ SLACK = 1.1
 MODEL_ROWS = 2_000_000
 #: Characters worked on at a time, and different n-grams a task holds before it hands counts on.
 CHUNK = 500_000
-HOLD = 500_000
+HOLD = 200_000
 PAD = "\x02"
 MUL = np.uint64(0x9E3779B97F4A7C15)
 
