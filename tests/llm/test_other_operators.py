@@ -108,6 +108,15 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert rows(extraction.extract(df.limit(0))) == []
 
 
+def test_copies_of_a_page_are_not_boilerplate(spark):
+    copy = "<h1>The one story</h1><div class=body>" + "".join(f"<p>Paragraph {k} of the story</p>" for k in range(10)) + "</div>"
+    pages = [(i, f"http://a.example/{i}", copy) for i in range(1000)]
+    pages += [(2000 + i, f"http://a.example/own{i}", f"<h1>Title {i}</h1><div class=body><p>Own text {i}</p></div>") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in rows(extraction.extract(spark.createDataFrame(pages, "page_id long, url string, html string")))}
+    want = " ".join(["The one story", *(f"Paragraph {k} of the story" for k in range(10))])
+    assert all(got[i] == want for i in range(1000)) and got[2001] == "Title 1 Own text 1"
+
+
 def test_long_page():
     page = "<article>" + "".join(f"<p>para {i} &amp; more</p>" for i in range(20000)) + "</article>"
     assert len(extraction.blocks(page)) == 20000

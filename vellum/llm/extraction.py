@@ -7,13 +7,14 @@ low importance are removed, and so is a content that many pages repeat at one no
 an element is a prior to that: menus, forms, adverts and so on weigh nothing, whatever they hold,
 and text inside an article or main element stays, whatever other pages hold.
 
-Statistics are counts per (host, node, content), pre-aggregated before the shuffle, so a host with
-a third of the pages is no hot group. Removed block numbers go back to their pages; they are
+Statistics are counts per (host, node, content) over the different pages of a host, so copies of a
+page do not make it boilerplate; they are pre-aggregated before the shuffle, so a host with a third
+of the pages is no hot group. Removed block numbers go back to their pages; they are
 broadcast only if they are few.
 
 Defined cases: a null html is empty and has an empty text; a null url is the host ''; hosts with
 fewer than PAGES pages have no statistics, the prior decides alone; unclosed and stray tags are
-taken as browsers do; repeated rows count as pages and each get the text; an empty table gives no
+taken as browsers do; pages of one host with equal html count once and each get the text; an empty table gives no
 rows; other columns are not read.
 """
 
@@ -166,8 +167,9 @@ def host() -> Column:
 
 
 def style_tree(nodes: DataFrame, pages: int = PAGES, least: float = LEAST_IMPORTANCE, share: float = REPEATED_SHARE) -> DataFrame:
-    """host, path, content (a row per block) -> the (host, path, content) to remove."""
-    here = nodes.groupBy("host", "path", "content").agg(F.count("*").alias("n"))
+    """host, page, number, path, content (a row per block; page is a hash of the html) -> the (host, path, content) to remove."""
+    here = nodes.select("host", "page", "number", "path", "content").dropDuplicates(["host", "page", "number"])
+    here = here.groupBy("host", "path", "content").agg(F.count("*").alias("n"))
     here = common.table(here, "style-contents")
     part = lambda c: F.col("n") / F.col(c)
     total = here.groupBy("host", "path").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("s")).where(F.col("all") >= pages)
@@ -185,7 +187,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, number, path, content = [], [], [], []
-            for i, page in enumerate(batch.column(3)):
+            for i, page in enumerate(batch.column(4)):
                 for k, b in enumerate(blocks(page.as_py())):
                     if not b.inside:
                         at.append(i)
@@ -195,10 +197,10 @@ def extract(pages: DataFrame) -> DataFrame:
             if at:
                 h = [pa.array(pd.util.hash_array(np.array(x, dtype=object), categorize=False).view("int64")) for x in (path, content)]
                 took = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([took.column(0), took.column(1), took.column(2), pa.array(number, pa.int32()), *h], ["pid", "pk", "host", "number", "path", "content"])
+                yield pa.RecordBatch.from_arrays([*took.columns[:4], pa.array(number, pa.int32()), *h], ["pid", "pk", "page", "host", "number", "path", "content"])
 
     page_key = F.xxhash64("url", "html")
-    found = rows.select(F.col("page_id").cast("long").alias("pid"), page_key.alias("pk"), host().alias("host"), "html").mapInArrow(nodes, "pid long, pk long, host string, number int, path long, content long")
+    found = rows.select(F.col("page_id").cast("long").alias("pid"), page_key.alias("pk"), F.xxhash64("html").alias("page"), host().alias("host"), "html").mapInArrow(nodes, "pid long, pk long, page long, host string, number int, path long, content long")
     found = common.table(found, "style-nodes")
     low = common.table(style_tree(found), "style-low").select(F.col("host").alias("l_host"), F.col("path").alias("l_path"), F.col("content").alias("l_content"))
     gone = common.join_small(found, low, (F.col("host") == F.col("l_host")) & (F.col("path") == F.col("l_path")) & (F.col("content") == F.col("l_content")))
