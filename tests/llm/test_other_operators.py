@@ -108,6 +108,15 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert rows(extraction.extract(df.limit(0))) == []
 
 
+def test_style_tree_decides_on_pages_with_an_article(spark):
+    notice, teaser = "<p>Please support us, every page</p>", "<div class=box>Read our yearly offer</div>"
+    pages = [(i, f"http://a.example/{i}", f"<div class=lead>Standfirst {i}</div><div class=strip>One strip</div><article><h1>Title {i}</h1>{notice}<p>Story {i} one</p><p>Story {i} two</p>{teaser}</article><div class=tail>Kind {i % 3}</div>") for i in range(12)]
+    pages += [(100 + i, f"http://b.example/{i}", f"<p>beside {i}</p><main>{notice}<p>Only {i}</p></main>") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in rows(extraction.extract(spark.createDataFrame(pages, "page_id long, url string, html string")))}
+    assert all(got[i] == f"Standfirst {i} Title {i} Story {i} one Story {i} two" for i in range(12))
+    assert got[101] == "Please support us, every page Only 1"  # too few pages: the prior decides
+
+
 def test_copies_of_a_page_are_not_boilerplate(spark):
     copy = "<h1>The one story</h1><div class=body>" + "".join(f"<p>Paragraph {k} of the story</p>" for k in range(10)) + "</div>"
     pages = [(i, f"http://a.example/{i}", copy) for i in range(1000)]

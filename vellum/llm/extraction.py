@@ -4,8 +4,10 @@ Pages of one host are merged into one tree of styles: a node is a path of tags w
 class. A node's importance is the entropy of what the pages hold there, relative to the most that
 so many pages could have: what every page repeats is 0, what differs everywhere is 1. Branches of
 low importance are removed, and so is a content that many pages repeat at one node. The role of
-an element is a prior to that: menus, forms, adverts and so on weigh nothing, whatever they hold,
-and text inside an article or main element stays, whatever other pages hold.
+an element is a prior to that, a weight of its importance (WEIGHTS): menus, forms, adverts and so on
+weigh nothing, whatever they hold; text inside an article or main element weighs most, and the rest
+of such a page least, so it stays only where it is of high importance. What no statistics are known
+of is left to the prior alone: on a page with an article or main element, the text inside.
 
 Statistics are counts per (host, node, content) over the different pages of a host, so copies of a
 page do not make it boilerplate; they are pre-aggregated before the shuffle, so a host with a third
@@ -37,6 +39,11 @@ PAGES = 4
 LEAST_IMPORTANCE = 0.3
 REPEATED_SHARE = 0.5
 LINKED = 0.6
+#: Pages whose blocks a worker holds at a time.
+SLICE = 500
+#: Weight of a block's importance by its role: beside an article or main element, on a page without one, inside one.
+BESIDE, PLAIN, INSIDE = range(3)
+WEIGHTS = (0.5, 1.0, 2.0)
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden|aria-label)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
@@ -61,6 +68,7 @@ class Block:
     text: str
     inside: bool  # an article or main element
     linked: float  # share of its characters that are in links
+    role: int = PLAIN
 
 
 def _attributes(said: str) -> dict[str, str]:
@@ -79,7 +87,12 @@ def _around(tag: str, a: dict[str, str], inside: bool) -> bool:
 
 
 def blocks(page: str) -> list[Block]:
-    """The blocks of text that the prior leaves, in page order."""
+    """The blocks of text that the prior alone chooses, in page order."""
+    return [b for b in candidates(page) if b.role != BESIDE]
+
+
+def candidates(page: str) -> list[Block]:
+    """The blocks of text that the style tree decides on, in page order."""
     out: list[Block] = []
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, around, inside
     parts: list[str] = []
@@ -157,9 +170,10 @@ def blocks(page: str) -> list[Block]:
             at = close.end()
             pop_to(len(stack) - 1)
     end()
-    if any(b.inside for b in out):
-        return [b for b in out if b.inside]
-    return [b for b in out if b.linked < LINKED]
+    beside = BESIDE if any(b.inside for b in out) else PLAIN
+    for b in out:
+        b.role = INSIDE if b.inside else beside
+    return [b for b in out if b.inside or b.linked < LINKED]
 
 
 def host() -> Column:
@@ -167,17 +181,19 @@ def host() -> Column:
 
 
 def style_tree(nodes: DataFrame, pages: int = PAGES, least: float = LEAST_IMPORTANCE, share: float = REPEATED_SHARE) -> DataFrame:
-    """host, page, number, path, content (a row per block; page is a hash of the html) -> the (host, path, content) to remove."""
-    here = nodes.select("host", "page", "number", "path", "content").dropDuplicates(["host", "page", "number"])
-    here = here.groupBy("host", "path", "content").agg(F.count("*").alias("n"))
+    """host, page, number, path, content, role, once, opens (a row per block; page is a hash of the html, once and opens are 1 where the page first has the content at the path, and the path) -> host, path, content, gone: those that the tree removes for some role or, where they stand beside an article, keeps, with an array of the roles to remove."""
+    here = nodes.select("host", "page", "number", "path", "content", "role", "once", "opens").dropDuplicates(["host", "page", "number"])
+    here = here.groupBy("host", "path", "content").agg(F.sum("once").alias("n"), F.sum("opens").alias("opens"), F.min("role").alias("role"))
     here = common.table(here, "style-contents")
-    part = lambda c: F.col("n") / F.col(c)
-    total = here.groupBy("host", "path").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log("n")).alias("s")).where(F.col("all") >= pages)
+    total = here.groupBy("host", "path").agg(F.sum("n").alias("all"), F.sum("opens").alias("held"), F.sum(F.col("n") * F.log("n")).alias("s")).where(F.col("held") >= pages)
     total = total.withColumn("importance", (F.log("all") - F.col("s") / F.col("all")) / F.log("all"))
-    total = total.select(F.col("host").alias("t_host"), F.col("path").alias("t_path"), "all", "importance")
+    total = total.select(F.col("host").alias("t_host"), F.col("path").alias("t_path"), "held", "importance")
     low = here.join(total, (F.col("host") == F.col("t_host")) & (F.col("path") == F.col("t_path")))
-    low = low.where((F.col("importance") < least) | (F.col("n") >= pages) & (part("all") >= share))
-    return low.select("host", "path", "content")
+    repeated = (F.col("n") >= pages) & (F.col("n") >= share * F.col("held"))
+    gone = F.array_compact(F.array(*[F.when(repeated | (F.col("importance") * w < least), F.lit(k)) for k, w in enumerate(WEIGHTS)]))
+    low = low.withColumn("gone", gone)
+    stays = (F.col("role") == BESIDE) & ~F.array_contains("gone", BESIDE)
+    return low.where(stays | F.array_contains("gone", PLAIN)).select("host", "path", "content", "gone")
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -185,38 +201,44 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, number, path, content = [], [], [], []
+        for batch in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
+            at, number, path, content, role, once, opens = [], [], [], [], [], [], []
             for i, page in enumerate(batch.column(4)):
-                for k, b in enumerate(blocks(page.as_py())):
-                    if not b.inside:
-                        at.append(i)
-                        number.append(k)
-                        path.append(b.path)
-                        content.append(b.text)
+                seen: set = set()
+                for k, b in enumerate(candidates(page.as_py())):
+                    at.append(i)
+                    number.append(k)
+                    path.append(b.path)
+                    content.append(b.text)
+                    role.append(b.role)
+                    once.append((b.path, b.text) not in seen)
+                    opens.append(b.path not in seen)
+                    seen |= {b.path, (b.path, b.text)}
             if at:
                 h = [pa.array(pd.util.hash_array(np.array(x, dtype=object), categorize=False).view("int64")) for x in (path, content)]
-                took = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*took.columns[:4], pa.array(number, pa.int32()), *h], ["pid", "pk", "page", "host", "number", "path", "content"])
+                took = batch.select([0, 1, 2, 3]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*took.columns, pa.array(number, pa.int32()), *h, *[pa.array(np.array(x, np.int32)) for x in (role, once, opens)]], ["pid", "pk", "page", "host", "number", "path", "content", "role", "once", "opens"])
+        common.release()
 
     page_key = F.xxhash64("url", "html")
-    found = rows.select(F.col("page_id").cast("long").alias("pid"), page_key.alias("pk"), F.xxhash64("html").alias("page"), host().alias("host"), "html").mapInArrow(nodes, "pid long, pk long, page long, host string, number int, path long, content long")
+    found = rows.select(F.col("page_id").cast("long").alias("pid"), page_key.alias("pk"), F.xxhash64("html").alias("page"), host().alias("host"), "html").mapInArrow(nodes, "pid long, pk long, page long, host string, number int, path long, content long, role int, once int, opens int")
     found = common.table(found, "style-nodes")
-    low = common.table(style_tree(found), "style-low").select(F.col("host").alias("l_host"), F.col("path").alias("l_path"), F.col("content").alias("l_content"))
-    gone = common.join_small(found, low, (F.col("host") == F.col("l_host")) & (F.col("path") == F.col("l_path")) & (F.col("content") == F.col("l_content")))
-    gone = gone.groupBy("pid", "pk").agg(F.collect_set("number").alias("gone")).withColumnRenamed("pk", "g_pk")
+    low = common.table(style_tree(found), "style-low").select(F.col("host").alias("l_host"), F.col("path").alias("l_path"), F.col("content").alias("l_content"), "gone")
+    turned = common.join_small(found, low, (F.col("host") == F.col("l_host")) & (F.col("path") == F.col("l_path")) & (F.col("content") == F.col("l_content")))
+    turned = turned.where(F.array_contains("gone", F.col("role")) != (F.col("role") == BESIDE))  # where the tree decides against the prior
+    turned = turned.groupBy("pid", "pk").agg(F.collect_set("number").alias("turned")).withColumnRenamed("pk", "g_pk")
     rows = rows.withColumn("pk", page_key)
-    rows = common.join_small(rows, common.table(gone, "style-gone"), F.col("page_id").cast("long").eqNullSafe(F.col("pid")) & (F.col("pk") == F.col("g_pk")), "left")
+    rows = common.join_small(rows, common.table(turned, "style-turned"), F.col("page_id").cast("long").eqNullSafe(F.col("pid")) & (F.col("pk") == F.col("g_pk")), "left")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for page, gone in zip(batch.column(2), batch.column(3)):
-                no = set(gone.as_py() or ())
-                out.append(" ".join(b.text for k, b in enumerate(blocks(page.as_py())) if k not in no))
+            for page, turned in zip(batch.column(2), batch.column(3)):
+                other = set(turned.as_py() or ())
+                out.append(" ".join(b.text for k, b in enumerate(candidates(page.as_py())) if (b.role != BESIDE) != (k in other)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "gone").mapInArrow(texts, "page_id long, url string, text string, n_chars long")
+    return rows.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "turned").mapInArrow(texts, "page_id long, url string, text string, n_chars long")
 
 
 def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
