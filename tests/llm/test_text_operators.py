@@ -320,6 +320,16 @@ def test_quality_odd_rows(spark):
     assert quality.classify(with_clashes(odd(spark)), labels).count() == 9  # the repeated row is one
 
 
+def test_quality_of_repeated_rows_does_not_depend_on_shards(spark):
+    texts = [(i, prose(i, 30), "en", "s") for i in range(60)]
+    docs = documents(spark, texts + texts[:20] * 3 + [(None, prose(99, 30), "en", "s")] * 4)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    one, many = ({(r["did"], r["tk"]): r for r in rows(quality.classify(docs, labels, model_rows=most))} for most in (10**6, 300))
+    assert len(one) == len(many) == 61
+    for k, r in one.items():
+        assert many[k]["perplexity"] == pytest.approx(r["perplexity"]) and many[k]["threshold"] == pytest.approx(r["threshold"])
+
+
 # 9 line dedup
 
 

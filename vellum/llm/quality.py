@@ -9,7 +9,7 @@ trusted documents is held out of training; a language's threshold is a quantile
 Scoring looks the n-grams of a text up in the finished tables. These are broadcast in shards of at
 most MODEL_ROWS rows: a position's look-ups of order three and up all fall into the shard of the
 two characters before it, so each shard adds its part of a text's log probability, the parts are
-summed by document, and neither the text nor an unbounded table is shuffled or collected.
+summed by document (of rows equal in id and text, one a shard), and neither the text nor an unbounded table is shuffled or collected.
 
 Defined cases: a null language is the language ''; a document without text has no perplexity and
 is rejected; where a language has no held-out trusted document, nothing is known and its documents
@@ -197,7 +197,7 @@ def log_probabilities(points: np.ndarray, tables: dict, lang: str) -> np.ndarray
 
 
 def score(docs: DataFrame, model: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """did, tk, lang, n, log_p (null where the language has no model) for each row of docs (did, tk, lang, text)."""
+    """did, tk, lang, n, log_p (null where the language has no model) for each row of docs (did, tk, lang, text); with several shards, for each different (did, tk, lang)."""
     spark = docs.sparkSession
     shards = max(1, -(-model.count() // model_rows))
     compiled = common.table(compile_model(model, shards), "kn-compiled")
@@ -230,13 +230,13 @@ def score(docs: DataFrame, model: DataFrame, model_rows: int = MODEL_ROWS) -> Da
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(size, pa.int64()), pa.array(total, pa.float64(), from_pandas=True)], ["did", "tk", "lang", "n", "log_p"])
             common.release()
 
-        parts.append(docs.mapInArrow(run, "did long, tk long, lang string, n long, log_p double"))
+        parts.append(docs.mapInArrow(run, "did long, tk long, lang string, n long, log_p double").withColumn("shard", F.lit(s)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     if shards > 1:
-        out = out.groupBy("did", "tk", "lang", "n").agg(F.sum("log_p").alias("log_p"))
-    return out
+        out = out.dropDuplicates(["did", "tk", "lang", "shard"]).groupBy("did", "tk", "lang", "n").agg(F.sum("log_p").alias("log_p"))
+    return out.drop("shard")
 
 
 def _lang() -> Column:
