@@ -330,6 +330,28 @@ def test_quality_of_repeated_rows_does_not_depend_on_shards(spark):
         assert many[k]["perplexity"] == pytest.approx(r["perplexity"]) and many[k]["threshold"] == pytest.approx(r["threshold"])
 
 
+def test_thresholds_follow_one_rule_at_all_sizes(spark):
+    def drawn(n):  # the same spread at every size, and one odd text
+        return [6 + 2 * ((k * 37) % n) / n for k in range(n - 1)] + [60.0]
+
+    sizes = {"a": 9, "b": 49, "c": 50, "d": 2000}
+    known = spark.createDataFrame([(lang, x) for lang, n in sizes.items() for x in drawn(n)], "lang string, perplexity double")
+    got = {r["l_lang"]: r["threshold"] for r in rows(quality.thresholds(known))}
+    at = lambda x: sorted(x)[int(np.ceil(0.975 * len(x))) - 1]
+    logs = {lang: np.log(drawn(n)) for lang, n in sizes.items()}
+    shared = at(np.concatenate([x - x.mean() for x in logs.values()]))
+    for lang, x in logs.items():
+        assert got[lang] == pytest.approx(np.exp(x.mean() + (len(x) * at(x - x.mean()) + 40 * shared) / (len(x) + 40)), rel=1e-3)
+    assert got["b"] == pytest.approx(got["c"], rel=0.02) and got["d"] == pytest.approx(at(drawn(2000)), rel=0.02) and got["a"] < 60
+    # from documents on: 'few' is judged like 'many', though few of its texts are held out and one of them is odd
+    texts = [(i, prose(i, 30), "many", "s") for i in range(400)] + [(1000 + i, prose(2000 + i, 30), "few", "s") for i in range(60)]
+    held = next(i for (i,) in spark.range(1000, 1060).where("pmod(xxhash64(id), 5) = 0").collect())
+    texts = [(i, "x§q!" * 40 if i == held else t, lang, s) for i, t, lang, s in texts]
+    labels = spark.createDataFrame([(i, 1, 0) for i, *_ in texts], "doc_id long, quality int, toxic int")
+    limit = {r["lang"]: (r["threshold"], r["perplexity"]) for r in rows(quality.classify(documents(spark, texts), labels)) if r["did"] in (0, held)}
+    assert limit["few"][0] < limit["few"][1]
+
+
 # 9 line dedup
 
 

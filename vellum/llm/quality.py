@@ -4,7 +4,10 @@ Per language a model of order ORDER is trained on trusted text (labels: quality
 are taken over every trusted document, combined per task before the shuffle, and the lower orders
 (continuation counts), discounts, context totals and interpolated probabilities come from joins
 that are hash-sharded by n-gram. Perplexity is per document over its whole text. A fifth of the
-trusted documents is held out of training; a language's threshold is a quantile of theirs.
+trusted documents is held out of training; a language's threshold is a quantile of theirs, smoothed
+by one rule at all sizes: of log perplexities less their language's mean, the language's quantile
+and that of all languages are averaged, the latter with the weight of 1 / (1 - quantile) documents,
+so what few documents do not tell comes from the others and what many tell is theirs.
 
 Scoring looks the n-grams of a text up in the finished tables. These are broadcast in shards of at
 most MODEL_ROWS rows: a position's look-ups of order three and up all fall into the shard of the
@@ -13,8 +16,7 @@ summed by document (of rows equal in id and text, one a shard), and neither the
 
 Defined cases: a null language is the language ''; a document without text has no perplexity and
 is rejected; where a language has no held-out trusted document, nothing is known and its documents
-are kept; with fewer than FEW of them the threshold is their largest perplexity times SLACK; a
-document with several labels is trusted if all of them agree; rows equal in id and text share
+are kept; a document with several labels is trusted if all of them agree; rows equal in id and text share
 their result; empty tables give no rows; other columns pass through unchanged.
 """
 
@@ -34,8 +36,6 @@ from . import common
 ORDER = 5
 HELD_OUT = 5
 QUANTILE = 0.975
-FEW = 50
-SLACK = 1.1
 MODEL_ROWS = 2_000_000
 #: Characters worked on at a time, and different n-grams a task holds before it hands counts on.
 CHUNK = 500_000
@@ -243,6 +243,19 @@ def _lang() -> Column:
     return F.coalesce("lang", F.lit(""))
 
 
+def thresholds(known: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """lang, perplexity of held-out documents -> l_lang, threshold."""
+    logs = common.table(known.select("lang", F.log("perplexity").alias("x")), "quality-known")
+    means = common.table(logs.groupBy(F.col("lang").alias("l_lang")).agg(F.count("*").alias("held_out"), F.avg("x").alias("mean")), "quality-means")
+    logs = common.join_small(logs, means, F.col("lang") == F.col("l_lang")).withColumn("off", F.col("x") - F.col("mean"))
+    high = F.percentile_approx("off", quantile, 10000)
+    shared = logs.agg(high.alias("shared"))
+    own = logs.groupBy("l_lang", "held_out", "mean").agg(high.alias("own")).crossJoin(F.broadcast(shared))  # one row
+    weight = 1 / (1 - quantile)
+    off = (F.col("held_out") * F.col("own") + weight * F.col("shared")) / (F.col("held_out") + weight)
+    return common.table(own.select("l_lang", F.exp(F.col("mean") + off).alias("threshold")), "quality-limits")
+
+
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, model_rows: int = MODEL_ROWS) -> DataFrame:
     """did, tk, lang, perplexity, threshold, keep for each distinct (id, text, language)."""
     trusted = labels.groupBy(F.col("doc_id").alias("t_id")).agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND t = 0 AND t_id IS NOT NULL").select("t_id")
@@ -254,8 +267,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mod
     scored = common.table(score(rows, model, model_rows), "quality-scores").dropDuplicates(["did", "tk", "lang"])
     scored = scored.withColumn("perplexity", F.when(F.col("n") > 0, F.exp(-F.col("log_p") / F.col("n"))))
     known = common.join_small(scored, trusted.where(held), F.col("did") == F.col("t_id")).where("perplexity IS NOT NULL")
-    limits = known.groupBy(F.col("lang").alias("l_lang")).agg(F.count("*").alias("held_out"), F.percentile_approx("perplexity", quantile, 10000).alias("q"), F.max("perplexity").alias("most"))
-    limits = common.table(limits.select("l_lang", F.when(F.col("held_out") >= FEW, F.col("q")).otherwise(F.col("most") * SLACK).alias("threshold")), "quality-limits")
+    limits = thresholds(known, quantile)
     out = common.join_small(scored, limits, F.col("lang") == F.col("l_lang"), "left")
     keep = (F.col("n") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return out.select("did", "tk", "lang", "perplexity", "threshold", keep.alias("keep"))
