@@ -398,6 +398,16 @@ def test_line_dedup_matches_brute_force(spark):
     assert got[1]["text"] == docs[1][1]
 
 
+def test_line_dedup_keeps_two_places_of_one_source_apart(spark):
+    x = [None, *(prose(700 + i, 10) for i in range(1, 9))]
+    one = "\n".join([*x[1:6], prose(750, 10), *x[3:9]])
+    docs = [(1, one), (2, "\n".join(x[1:]))] + [(10 * k + j, f"{prose(760 + 10 * k + j, 10)}\n{x[k]}\n{prose(860 + 10 * k + j, 10)}") for k in (1, 2, 6, 7, 8) for j in range(3)]
+    docs += [(200 + k, f"{prose(960 + k, 10)}\n{x[k]}\n{prose(970 + k, 10)}") for k in (3, 5)]
+    got = {r["doc_id"]: r["text"] for r in rows(linededup.dedup(documents(spark, docs)))}
+    assert got[2] == brute_dedup(docs)[2] == ""
+    assert all(got[i] == t for i, t in docs if i != 2)
+
+
 def test_line_dedup_odd_rows(spark):
     docs = with_clashes(odd(spark))
     out = linededup.dedup(docs)

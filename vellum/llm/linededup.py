@@ -96,11 +96,11 @@ def repeated_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     own = rows.select("did", "tk", "stretch", "at", "h", "h2", "words")
     between = (F.col("at") > F.coalesce("before", F.lit(-1))) & (F.col("at") < F.coalesce("after", F.lit(2**31 - 1)))
     pairs = marks.join(own, ["did", "tk"]).where((F.col("stretch") == F.col("m_stretch")) & between)
-    pairs = pairs.select("did", "tk", "mark", "at", "h", "h2", "words", "s_did", "s_tk", (F.col("m_at") + F.col("at") - F.col("mark")).alias("s_at"))
+    pairs = pairs.select("did", "tk", "mark", "at", "h", "h2", "words", "s_did", "s_tk", "m_at", (F.col("m_at") + F.col("at") - F.col("mark")).alias("s_at"))
     there = rows.select(F.col("did").alias("s_did"), F.col("tk").alias("s_tk"), F.col("at").alias("s_at"), F.col("h").alias("s_h"), F.col("h2").alias("s_h2"))
     pairs = pairs.join(there, ["s_did", "s_tk", "s_at"], "left")
     same = F.coalesce((F.col("h") == F.col("s_h")) & (F.col("h2") == F.col("s_h2")), F.lit(False))
-    match = Window.partitionBy("did", "tk", "mark", "s_did", "s_tk")
+    match = Window.partitionBy("did", "tk", "mark", "s_did", "s_tk", "m_at")  # m_at: one line may match two places of a document
     pairs = pairs.withColumn("low", F.max(F.when(~same & (F.col("at") < F.col("mark")), F.col("at"))).over(match))
     pairs = pairs.withColumn("high", F.min(F.when(~same & (F.col("at") > F.col("mark")), F.col("at"))).over(match))
     held = pairs.where((F.col("at") > F.coalesce("low", F.lit(-1))) & (F.col("at") < F.coalesce("high", F.lit(2**31 - 1))))
