@@ -1,9 +1,10 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: MinHash banding, then exact verification.
 
 Texts are sets of word WORDS-grams; texts with one set are one class, of which one text stands for
-all. A signature of TREES * depth minima fills TREES prefix tries. The prefix that must match is
-shortened from MAX_DEPTH until a pair at the threshold is found with probability RECALL in some
-tree. Texts under one prefix are candidates. Signatures of candidates are compared, and what looks
+all. A signature of TREES * depth minima is cut into TREES bands, called trees here. The depth is
+one for all texts: the most, up to MAX_DEPTH, with which a pair at the threshold meets with
+probability RECALL in some tree (4 with these constants). There are no sorted tries, and no prefix is
+shortened by what a text meets. Texts with one prefix are candidates. Signatures of candidates are compared, and what looks
 similar at all (ROUGH) is joined into candidate components, within which every pair is verified
 exactly on whole sets. So a pair that no tree brought together is still found if it lies in one
 component.
