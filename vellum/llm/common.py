@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a side may have to be broadcast; beyond it the callers take their other way.
+#: Rows, and bytes by the planner's estimate, that a side may have to be broadcast; beyond either the callers take their other way.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,9 +19,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, in one process only, a folder of our own where it is unset."""
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if not set_to:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         set_to = "file://" + tempfile.mkdtemp(prefix="vellum-")
         spark.conf.set("spark.checkpoint.dir", set_to)
     return set_to.rstrip("/")
@@ -64,6 +68,13 @@ def text_key(text: str | Column = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
-def join_small(df: DataFrame, small: DataFrame, on: Column, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df joined with a side that is broadcast only if its counted rows are few; else a shuffled join, which AQE splits where a key is hot."""
-    return df.join(F.broadcast(small) if small.limit(rows + 1).count() <= rows else small, on, how)
+def is_small(df: DataFrame, rows: int | None = None, size: int | None = None) -> bool:
+    """Whether df may be broadcast: few bytes by the planner's estimate, which reads file sizes and, where it must guess, guesses high; and few counted rows."""
+    rows, size = BROADCAST_ROWS if rows is None else rows, BROADCAST_BYTES if size is None else size
+    said = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return said <= size and df.limit(rows + 1).count() <= rows
+
+
+def join_small(df: DataFrame, small: DataFrame, on: Column, how: str = "inner") -> DataFrame:
+    """df joined with a side that is broadcast only if it is small; else a shuffled join, which AQE splits where a key is hot."""
+    return df.join(F.broadcast(small) if is_small(small) else small, on, how)

@@ -1,28 +1,33 @@
-"""Line dedup: winnowing over line hashes, with matches extended both ways.
+"""Line dedup: winnowing over line hashes, with matches grown both ways.
 
 A repeated run is a stretch of consecutive lines, of at least `least` words, that stands earlier in
-the corpus; order is by doc_id, text hash and line. Later repeated runs are deleted, the first one
-stays. Matches that touch are one run, so a short repeated line beside a long one goes with it.
-How they are found:
+the corpus and ends before the run starts; order is by doc_id, text hash and line. Lines without
+words are no part of a run; those inside a deleted run go with it. Later repeated runs are deleted,
+the first one stays. How they are found:
 
 1. Lines are hashed. A line that occurs once can be in no repeated run, so only stretches of
    lines that occur at least twice, with enough words, go on.
-2. Winnowing: of every window of lines that start within `least` words, the minimum by (number of
-   occurrences, hash) is a fingerprint. A repeated run with `least` words holds a whole window, and
-   equal windows choose equal lines, so a fingerprint in each run is guaranteed.
-3. Each fingerprint's position joins the first position of an equal window in the corpus, not all
-   of them: the rows stay linear in the lines, however often a line occurs, and a common line that
-   stands alone elsewhere is not taken for the run.
-4. From there the match is extended line by line, both ways, to the neighbouring fingerprints.
-
-Only DataFrame functions are used. Counts are pre-aggregated; the table of repeated lines is
-broadcast only if it is small, else the join is shuffled and AQE splits a hot line's rows.
-
-Defined cases: a null text has no lines and stays null; an empty text has one empty line; a null
-id is last in order; rows equal in id and text are one document and get one result, which each of
-them carries; a document that consists of repeated runs keeps its row with an empty text; an empty
-table gives no rows; other columns pass through unchanged, but n_chars, if there, is counted anew
-where lines went.
+2. Winnowing: from every line the shortest window with `least` words is grown, forwards and
+   backwards, and the minimum of a window's lines by (number of occurrences, hash) is its
+   fingerprint. Every run with `least` words holds a whole window, and equal windows choose equal
+   lines, so a fingerprint in each run is guaranteed.
+3. Positions of equal fingerprints are joined: a window whose fingerprint is chosen at no second
+   position goes. The join is to an aggregate per fingerprint, never from position to position.
+4. What is left is verified by the hash of the window's lines, against the first window in the
+   corpus that holds the same. As windows start and end at every line of a match, grown both ways,
+   those that match cover it from its first line to its last, whatever places its parts stood at before.
+
+Only DataFrame functions are used. Counts and first places are pre-aggregated before the shuffle, so
+a line or passage that a third of the corpus holds is no hot group; tables are broadcast only if
+they are small, else the join is shuffled and AQE splits a hot line's rows.
+
+Defined cases: a null text has no lines and stays null; an empty text has one empty line; a very long
+text is one document like any other, its windows a partition sorted on disk; a null id is last in order,
+and ids that tie are in the order of their text's hash; rows equal in id and text are one document and
+get one result, which each of them carries; a run that overlaps its own source is deleted from the source's
+end on (of forty equal lines the first `least` words stay); a document that consists of repeated runs keeps
+its row with an empty text; an empty table gives no rows; other columns pass through unchanged, whatever
+their names, but n_chars, if there, is counted anew where lines went.
 """
 
 from __future__ import annotations
@@ -45,68 +50,64 @@ def split_lines(text: str = "text") -> Column:
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """did, tk, at, h, h2, words: a row per line of each distinct document."""
+    """did, tk, at, h, h2, words: a row per line with words of each distinct document, nth its number among them."""
     rows = docs.select(_id().alias("did"), common.text_key().alias("tk"), F.posexplode(split_lines()).alias("at", "line"))
-    rows = rows.select("did", "tk", "at", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), F.regexp_count("line", F.lit(r"\S+")).alias("words"))
-    return rows.repartition("did", "tk").dropDuplicates(["did", "tk", "at"])
+    rows = rows.select("did", "tk", "at", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"), F.regexp_count("line", F.lit(r"\S+")).alias("words")).where("words > 0")
+    rows = rows.repartition("did", "tk").dropDuplicates(["did", "tk", "at"])
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("did", "tk").orderBy("at")))
 
 
 def repeated_lines(every: DataFrame, least: int = LEAST) -> DataFrame:
-    """Lines that occur at least twice, in stretches of enough words, with their count n, first place and stretch."""
-    counts = every.groupBy(F.col("h").alias("c_h"), F.col("h2").alias("c_h2")).agg(F.count("*").alias("n"), F.min(F.struct("did", "tk", "at")).alias("first"))
-    counts = common.table(counts.where("n > 1"), "lines-counts")
+    """Lines that occur at least twice, in stretches of enough words, with their count n, the stretch and its words (total)."""
+    counts = every.groupBy(F.col("h").alias("c_h"), F.col("h2").alias("c_h2")).agg(F.count("*").alias("n")).where("n > 1")
+    counts = common.table(counts, "lines-counts")
     rows = common.join_small(every, counts, (F.col("h") == F.col("c_h")) & (F.col("h2") == F.col("c_h2"))).drop("c_h", "c_h2")
-    doc = Window.partitionBy("did", "tk").orderBy("at")
-    rows = rows.withColumn("stretch", F.col("at") - F.row_number().over(doc))
+    doc = Window.partitionBy("did", "tk").orderBy("nth")
+    rows = rows.withColumn("stretch", F.col("nth") - F.row_number().over(doc))
     whole = Window.partitionBy("did", "tk", "stretch")
     return rows.withColumn("total", F.sum("words").over(whole)).where(F.col("total") >= least)
 
 
 def windows(rows: DataFrame, least: int = LEAST) -> DataFrame:
-    """did, tk, stretch, at, mark, content: each whole window by its first line, with the line it chooses and a hash of its lines."""
+    """did, tk, start, last (lines), m_at, m_h, m_h2 (the fingerprint), c1, c2 (hashes of the lines): every shortest window, forwards and backwards."""
     stretch = Window.partitionBy("did", "tk", "stretch")
-    weight = F.col("words") + 1  # above 0, so that lines start at different places
-    rows = rows.withColumn("from", F.sum(weight).over(stretch.orderBy("at")) - weight).withColumn("end", F.sum(weight).over(stretch))
-    frame = stretch.orderBy("from").rangeBetween(0, least - 1)
-    chosen = F.min(F.struct("n", "h", "h2", "at")).over(frame)["at"]
-    content = F.xxhash64(F.collect_list("h").over(frame), F.collect_list("h2").over(frame))
-    rows = rows.select("did", "tk", "stretch", "at", "from", "end", chosen.alias("mark"), content.alias("content"))
-    return rows.where(F.col("from") + least <= F.col("end")).drop("from", "end")
-
-
-def fingerprints(rows: DataFrame, least: int = LEAST) -> DataFrame:
-    """did, tk, m_stretch, mark, s_did, s_tk, s_at, before, after: the minima of windows that stand earlier, the first such place, and the neighbouring minima."""
-    every = common.table(windows(rows, least), "lines-windows")
-    first = every.groupBy(F.col("content").alias("f_content")).agg(F.count("*").alias("times"), F.min(F.struct("did", "tk", "at")).alias("first"))
-    first = common.table(first.where("times > 1").drop("times"), "lines-first")
-    marks = common.join_small(every, first, F.col("content") == F.col("f_content")).where(F.struct("did", "tk", "at") > F.col("first"))
-    there = F.col("first.at") + F.col("mark") - F.col("at")
-    marks = marks.select("did", "tk", F.col("stretch").alias("m_stretch"), "mark", F.col("first.did").alias("s_did"), F.col("first.tk").alias("s_tk"), there.alias("s_at")).distinct()
-    places = marks.groupBy("did", "tk").agg(F.array_sort(F.collect_set("mark")).alias("marks"))
-    marks = marks.join(places, ["did", "tk"])
-    k = F.array_position("marks", F.col("mark")).cast("int")
-    return marks.withColumn("before", F.get("marks", k - 2)).withColumn("after", F.get("marks", k)).drop("marks")
+    rows = rows.withColumn("end", F.sum("words").over(stretch.orderBy("nth"))).withColumn("begin", F.col("end") - F.col("words"))
+
+    def grown(frame, whole: Column) -> Column:
+        mark = F.min(F.struct("n", "h", "h2", "at")).over(frame)
+        said = F.collect_list(F.struct("h", "h2")).over(frame)
+        return F.when(whole, F.struct(F.min("at").over(frame).alias("start"), F.max("at").over(frame).alias("last"), mark["at"].alias("m_at"), mark["h"].alias("m_h"), mark["h2"].alias("m_h2"), F.xxhash64(said).alias("c1"), F.hash(said).alias("c2")))
+
+    forwards = grown(stretch.orderBy("begin").rangeBetween(0, least - 1), F.col("begin") + least <= F.col("total"))
+    backwards = grown(stretch.orderBy("end").rangeBetween(1 - least, 0), F.col("end") >= least)
+    rows = rows.select("did", "tk", forwards.alias("x"), backwards.alias("y"))
+    return rows.select("did", "tk", F.explode(F.array_compact(F.array("x", "y"))).alias("w")).select("did", "tk", "w.*")
+
+
+def repeated_windows(every: DataFrame) -> DataFrame:
+    """Written-out windows -> did, tk, start, last of those that stand earlier: fingerprints first, then whole windows."""
+    place = F.struct("did", "tk", "m_at")
+    shared = every.groupBy(F.col("m_h").alias("f_h"), F.col("m_h2").alias("f_h2")).agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("f_h", "f_h2")
+    left = common.join_small(every, common.table(shared, "lines-marks"), (F.col("m_h") == F.col("f_h")) & (F.col("m_h2") == F.col("f_h2")), "left_semi")
+    left = common.table(left.select("did", "tk", "start", "last", "c1", "c2"), "lines-candidates")
+    place = F.struct("did", "tk", "start", "last")
+    first = left.groupBy(F.col("c1").alias("f_c1"), F.col("c2").alias("f_c2")).agg(F.min(place).alias("first"), F.max(place).alias("latest")).where("first < latest").drop("latest")
+    later = common.join_small(left, common.table(first, "lines-first"), (F.col("c1") == F.col("f_c1")) & (F.col("c2") == F.col("f_c2")))
+    here = (F.col("did") == F.col("first.did")) & (F.col("tk") == F.col("first.tk"))
+    after = F.when(here, F.col("start") > F.col("first.last")).otherwise(F.struct("did", "tk") > F.struct("first.did", "first.tk"))
+    return later.where(after).select("did", "tk", "start", "last")
 
 
 def repeated_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """did, tk, runs: array of (start, end), the line ranges to delete from each document that has any."""
     every = common.table(lines(docs), "lines")
-    rows = common.table(repeated_lines(every, least), "lines-repeated")
-    marks = fingerprints(rows, least).withColumnRenamed("s_at", "m_at")
-    own = rows.select("did", "tk", "stretch", "at", "h", "h2", "words")
-    between = (F.col("at") > F.coalesce("before", F.lit(-1))) & (F.col("at") < F.coalesce("after", F.lit(2**31 - 1)))
-    pairs = marks.join(own, ["did", "tk"]).where((F.col("stretch") == F.col("m_stretch")) & between)
-    pairs = pairs.select("did", "tk", "mark", "at", "h", "h2", "words", "s_did", "s_tk", "m_at", (F.col("m_at") + F.col("at") - F.col("mark")).alias("s_at"))
-    there = rows.select(F.col("did").alias("s_did"), F.col("tk").alias("s_tk"), F.col("at").alias("s_at"), F.col("h").alias("s_h"), F.col("h2").alias("s_h2"))
-    pairs = pairs.join(there, ["s_did", "s_tk", "s_at"], "left")
-    same = F.coalesce((F.col("h") == F.col("s_h")) & (F.col("h2") == F.col("s_h2")), F.lit(False))
-    match = Window.partitionBy("did", "tk", "mark", "s_did", "s_tk", "m_at")  # m_at: one line may match two places of a document
-    pairs = pairs.withColumn("low", F.max(F.when(~same & (F.col("at") < F.col("mark")), F.col("at"))).over(match))
-    pairs = pairs.withColumn("high", F.min(F.when(~same & (F.col("at") > F.col("mark")), F.col("at"))).over(match))
-    held = pairs.where((F.col("at") > F.coalesce("low", F.lit(-1))) & (F.col("at") < F.coalesce("high", F.lit(2**31 - 1))))
-    held = held.select("did", "tk", "at", "words").distinct()
-    held = held.withColumn("run", F.col("at") - F.row_number().over(Window.partitionBy("did", "tk").orderBy("at")))
-    runs = held.groupBy("did", "tk", "run").agg(F.min("at").alias("start"), F.max("at").alias("end"), F.sum("words").alias("words")).where(F.col("words") >= least)
+    found = common.table(windows(repeated_lines(every, least), least), "lines-windows")
+    common.drop(every)
+    gone = repeated_windows(found).distinct()
+    doc = Window.partitionBy("did", "tk").orderBy("start", "last")
+    before = F.max("last").over(doc.rowsBetween(Window.unboundedPreceding, -1))
+    gone = gone.withColumn("run", F.sum(F.coalesce(F.col("start") > before + 1, F.lit(True)).cast("int")).over(doc))
+    runs = gone.groupBy("did", "tk", "run").agg(F.min("start").alias("start"), F.max("last").alias("end"))
     return runs.groupBy("did", "tk").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
 
