@@ -1,5 +1,6 @@
 import hashlib
 import io
+import re
 import zlib
 
 import numpy as np
@@ -153,7 +154,34 @@ def test_warc_round_trip_over_small_splits(spark):
         assert r["payload"] == (raw if r["record_type"] == "response" else None)
     kinds = sorted((-1 if r["page_id"] is None else r["page_id"], r["record_type"], r["refers_to"]) for r in got if r["page_id"] is None or r["page_id"] >= 55)
     assert kinds == [(-1, "revisit", 55), (55, "response", None), (55, "response", None), (60, "revisit", 55), (70, "revisit", 55), (80, "response", None), (81, "response", None), (90, "response", None), (91, "response", None), (95, "response", None)]
-    assert {r["url"] for r in got if r["page_id"] == 55} == {"http://h/55\nx%y"} and [r["url"] for r in got if r["page_id"] == 70] == [None]
+    assert {r["url"] for r in got if r["page_id"] == 55} == {"http://h/55%0Ax%y"} and [r["url"] for r in got if r["page_id"] == 70] == [None]
+
+
+def test_damaged_records_are_never_lost_in_silence(spark):
+    df = spark.createDataFrame([(i, f"http://h/a%20b?{i}", f"<p>{i}</p>" * 400) for i in range(6)], "page_id long, url string, html string")
+    manifest = warc.write(warc.decide(df).coalesce(1), common.scratch(spark, "test-warc"))
+    (path, size, _), good = manifest.collect()[0], rows(warc.read_archives(manifest))
+    assert len({r["url"] for r in good}) == 6 and all("/a%20b?" in r["url"] for r in good)
+    starts = sorted(r["start"] for r in good)
+    with open(path.removeprefix("file://"), "rb") as f:
+        raw = f.read()
+    for kind, bad in (("crc", raw[: starts[3] - 6] + bytes([raw[starts[3] - 6] ^ 1]) + raw[starts[3] - 5 :]), ("cut", raw[: size - 40])):
+        other = path.removeprefix("file://") + kind
+        with open(other, "wb") as f:
+            f.write(bad)
+        named = spark.createDataFrame([("file://" + other, len(bad))], "path string, size long")
+        for step in (97, 1 << 20):
+            with pytest.raises(Exception, match="record at byte"):
+                warc.read_archives(named, split_bytes=step).collect()
+            got = rows(warc.read_archives(named, split_bytes=step, damaged="row"))
+            lost = {r["start"] for r in got if r["record_type"] == "damaged"}
+            assert lost == {starts[2] if kind == "crc" else starts[5]} and sorted(r["start"] for r in got) == starts
+
+
+def test_revisits_name_the_record_they_refer_to(spark):
+    said = warc.record(9, "u", "", "d" * 64, "revisit", 4).decode()
+    first = warc.record(4, "v", "x", "d" * 64, "response", None).decode()
+    assert re.search("WARC-Refers-To: <(.*)>", said)[1] == re.search("WARC-Record-ID: <(.*)>", first)[1] != re.search("WARC-Record-ID: <(.*)>", said)[1]
 
 
 def test_warc_of_no_pages(spark):

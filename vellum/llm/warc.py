@@ -9,9 +9,15 @@ Reader: an archive is cut into byte ranges. A task scans its range for the gzip
 place for a member only if what it inflates to starts as a WARC header does, and owns the
 records whose member starts inside the range, reading on past its end for the last of them.
 
-Defined cases: a null html is an empty payload; a null url leaves its header out, a line break in
-one is percent-encoded; a null id counts as largest; repeated rows that share the smallest id are
-all responses; an empty table writes no archive and reads as no rows.
+A member that starts as a WARC record and then ends early, fails its checksum or does not parse is
+no chance magic: reading stops with an error that names archive and offset, or, with
+damaged="row", gives a row of record_type 'damaged' and goes on at the next member.
+
+Defined cases: a null html is an empty payload; a very long one is one record, held whole by the task
+that writes or reads it; a null url leaves its header out, a line break in one is percent-encoded and
+everything else stands as it is; a null id counts as largest; ids that tie, and repeated rows, that
+share the smallest id are all responses (of one record ID where the payload is the same too); an empty
+table writes no archive and reads as no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -33,6 +39,9 @@ FILE_BYTES = 64 << 20
 SPLIT_BYTES = 8 << 20
 CHUNK = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
+#: Bytes that are inflated to tell a record from chance magic.
+PROBE = 4096
+PAGE, REFERS = "X-Page-ID", "X-Refers-To-Page-ID"
 READ_SCHEMA = "path string, start long, record_type string, page_id long, refers_to long, url string, payload binary, payload_bytes long, payload_digest string"
 
 
@@ -53,15 +62,23 @@ def decide(pages: DataFrame, least: int = LEAST) -> DataFrame:
     return rows.select("page_id", "url", "html", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"))
 
 
+def record_id(kind: str, page_id, url: str | None, digest: str) -> str:
+    """A URN from what a record holds; a revisit can thus name the response it refers to."""
+    said = f"{kind}|{page_id}|{digest}" + ("" if kind == "response" else f"|{url}")
+    return uuid.uuid5(uuid.NAMESPACE_URL, said).urn
+
+
 def record(page_id, url, html: str, digest: str, kind: str, refers_to) -> bytes:
     payload = html.encode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if kind == "response" else b"")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 2024-01-01T00:00:00Z"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id(kind, page_id, url, digest)}>", "WARC-Date: 2024-01-01T00:00:00Z"]
+    if page_id is not None:
+        lines.append(f"{PAGE}: {page_id}")
     if url is not None:
-        lines.append("WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"))
+        lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{record_id('response', refers_to, None, digest)}>", f"{REFERS}: {refers_to}"]
     lines += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -95,77 +112,78 @@ def write(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFra
     return common.table(rows.mapInArrow(run, "path string, size long, records long"), "warc-manifest")
 
 
-def members(f, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, inflated bytes) of the members of an open file that start in [start, end)."""
+class Damaged(ValueError):
+    """A member that starts as a record and cannot be read to its end."""
+
+
+def members(f, start: int, end: int, skip: bool = False) -> Iterator[tuple[int, bytes | None]]:
+    """(offset, inflated bytes) of the members of an open file that start in [start, end); None for a damaged one, where such are skipped."""
     at = start
     f.seek(at)
-    buf = b""  # the file's bytes from `at` on
-    while True:
-        if len(buf) < len(MAGIC):
-            more = f.read(CHUNK)
+    buf = bytearray()  # the file's bytes from `at` on
+    while at < end:
+        while len(buf) < PROBE and (more := f.read(CHUNK)):
             buf += more
-            if len(buf) < len(MAGIC):
-                return
         k = buf.find(MAGIC)
-        if k < 0:
-            at, buf = at + len(buf) - len(MAGIC) + 1, buf[-len(MAGIC) + 1 :]
-            if at >= end or not (more := f.read(CHUNK)):
-                return
-            buf += more
+        if k:
+            step = k if k > 0 else len(buf) - len(MAGIC) + 1
+            if step <= 0 or k < 0 and len(buf) < PROBE:
+                return  # the file's last bytes hold no magic
+            at += step
+            del buf[:step]
+            continue
+        probe = zlib.decompressobj(wbits=31)
+        try:
+            seen = probe.decompress(buf[:PROBE], 5)
+            chance = not b"WARC/".startswith(seen) or len(seen) < 5 and (probe.eof or len(buf) >= PROBE)
+        except zlib.error:
+            chance = True
+        if chance:
+            at += 1
+            del buf[:1]
             continue
-        at, buf = at + k, buf[k:]
-        if at >= end:
-            return
-        z, parts, fed, seen = zlib.decompressobj(wbits=31), [], 0, b""
-        fault = False
-        while not z.eof:
+        z, parts, fed, fault = zlib.decompressobj(wbits=31), [], 0, ""
+        while not z.eof and not fault:
             if fed == len(buf):
-                more = f.read(CHUNK)
-                if not more:
-                    fault = True
-                    break
-                buf += more
+                buf += (more := f.read(CHUNK))
+                fault = "" if more else "ends early"
             data, fed = buf[fed : fed + CHUNK], min(len(buf), fed + CHUNK)
             try:
                 parts.append(z.decompress(data))
-            except zlib.error:
-                fault = True
-                break
-            if len(seen) < 5:
-                seen += parts[-1][:5]
-                if not b"WARC/".startswith(seen[:5]):
-                    fault = True
-                    break
-        if fault or not seen.startswith(b"WARC/"):
-            at, buf = at + 1, buf[1:]
-            continue
-        yield at, b"".join(parts)
-        used = fed - len(z.unused_data)
-        at, buf = at + used, buf[used:]
+            except zlib.error as e:
+                fault = str(e)
+        if fault and not skip:
+            raise Damaged(f"the record at byte {at}: {fault}")
+        yield at, None if fault else b"".join(parts)
+        used = 1 if fault else fed - len(z.unused_data)
+        at += used
+        del buf[:used]
 
 
 def parse(raw: bytes) -> dict:
     head, _, block = raw.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    block = block[: int(fields["Content-Length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
+    size = int(fields["Content-Length"])
+    if len(block) < size:
+        raise Damaged(f"{fields['WARC-Record-ID']} is shorter than it says")
+    http, _, payload = block[:size].partition(b"\r\n\r\n")
     kind = fields["WARC-Type"]
-    page = lambda x: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", x or "")) else None
-    url = fields.get("WARC-Target-URI")
+    number = lambda name: int(fields[name]) if name in fields else None
     said = fields["WARC-Payload-Digest"].removeprefix("sha256:")
     if kind == "response" and hashlib.sha256(payload).hexdigest() != said:
-        raise ValueError(f"the payload of {fields['WARC-Record-ID']} does not have its digest")
+        raise Damaged(f"the payload of {fields['WARC-Record-ID']} does not have its digest")
     length = len(payload) if kind == "response" else int(re.search(rb"(?m)^Content-Length: (\d+)", http)[1])
-    return {"record_type": kind, "page_id": page(fields["WARC-Record-ID"]), "refers_to": page(fields.get("WARC-Refers-To")), "url": url and url.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%"), "payload": payload if kind == "response" else None, "payload_bytes": length, "payload_digest": said}
+    return {"record_type": kind, "page_id": number(PAGE), "refers_to": number(REFERS), "url": fields.get("WARC-Target-URI"), "payload": payload if kind == "response" else None, "payload_bytes": length, "payload_digest": said}
 
 
-def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool = True) -> DataFrame:
-    """The records of the archives that the manifest names (path, size), read by byte ranges."""
+def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool = True, damaged: str = "fail") -> DataFrame:
+    """The records of the archives that the manifest names (path, size), read by byte ranges. damaged: 'fail', or 'row' for a row of record_type 'damaged'."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     spark = manifest.sparkSession
     arrow = to_arrow_schema(StructType.fromDDL(READ_SCHEMA))
+    skip = damaged == "row"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,14 +191,22 @@ def read_archives(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payload:
                 system, name = _open(path)
                 rows, held = [], 0
                 with system.open_input_file(name) as f:
-                    for at, raw in members(f, start, end):
-                        rows.append(parse(raw) | {"path": path, "start": at})
-                        if not payload:
-                            rows[-1]["payload"] = None
-                        held += len(raw)
-                        if held >= 4 << 20:
-                            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-                            rows, held = [], 0
+                    try:
+                        for at, raw in members(f, start, end, skip):
+                            try:
+                                rows.append(({"record_type": "damaged"} if raw is None else parse(raw)) | {"path": path, "start": at})
+                            except (ValueError, KeyError, TypeError) as e:
+                                if not skip:
+                                    raise Damaged(f"the record at byte {at}: {e}") from e
+                                rows.append({"record_type": "damaged", "path": path, "start": at})
+                            if not payload:
+                                rows[-1]["payload"] = None
+                            held += len(raw or b"")
+                            if held >= 4 << 20:
+                                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                                rows, held = [], 0
+                    except Damaged as e:
+                        raise Damaged(f"{path}: {e}") from e
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
