@@ -3,15 +3,19 @@
 Every rolling word k-gram of every text is hashed and joined to the k-grams of the templates (two
 words for the short base phrases, three for the notices; equal words are demanded beside equal
 hashes). A hit votes for a diagonal, its place in the text less its place in the template.
-Diagonals whose offsets differ by a few words and that lie close together are one place of an
-edited notice. A place counts if its hits cover enough of the template within a span of about the
+Diagonals whose offsets differ by a few words are merged, and of what they hold, parts that lie
+close together are one place of an edited notice, whatever stray hit on another diagonal lies between. A place counts if its hits cover enough of the template within a span of about the
 template's length; a base phrase counts if every one of its k-grams voted for one diagonal.
 
 The templates are a fixed table of a few hundred rows, so that side is broadcast; grams that hit
-nothing are dropped in the generating stage, and votes are pre-aggregated per text and diagonal.
-
-Defined cases: a null or empty text has no words, no places, empty label strings and score 0;
-repeated rows are counted separately; an empty table gives no rows; other columns are not read.
+nothing are dropped in the generating stage, and votes are pre-aggregated per text and diagonal and
+written once.
+
+Defined cases: a null or empty text has no words, no places, empty label strings and score 0; a very
+long text is scanned whole, its grams a stream and its votes one row per template and diagonal; places
+that tie in cover are all returned, in order of start, and one span may have several labels; rows that
+repeat, an id or all of it, are each scanned and returned; a null id stays null; an empty table gives no
+rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -86,18 +90,21 @@ def places(voted: DataFrame) -> DataFrame:
     """Neighbouring diagonals merged and their spans verified: doc_id, rid, t, label, base, start, end (word after the last), cover."""
     exact = voted.where(F.col("base") & (F.col("t") >= 0) & (F.size("seen") == F.col("grams")))
     exact = exact.select("doc_id", "rid", "t", "label", "base", F.col("diagonal").alias("start"), (F.col("hi") + 2).alias("end"), F.lit(1.0).alias("cover"))
-    w = Window.partitionBy("rid", "t").orderBy("lo", "diagonal")
-    reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    apart = (F.col("lo") > reach + GAP) | (F.abs(F.col("diagonal") - F.lag("diagonal").over(w)) > NEAR_DIAGONALS)
-    m = voted.where(~F.col("base")).withColumn("apart", apart).withColumn("island", F.sum(F.coalesce(F.col("apart"), F.lit(True)).cast("int")).over(w))
-    m = m.groupBy("doc_id", "rid", "t", "label", "base", "grams", "island").agg(F.min("lo").alias("start"), (F.max("hi") + 3).alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("n"))
+    m = voted.where(~F.col("base"))
+    w = Window.partitionBy("rid", "t").orderBy("diagonal")
+    far = F.col("diagonal") - F.lag("diagonal").over(w) > NEAR_DIAGONALS
+    m = m.withColumn("band", F.sum(F.coalesce(far, F.lit(True)).cast("int")).over(w))
+    w = Window.partitionBy("rid", "t", "band").orderBy("lo", "diagonal")
+    apart = F.col("lo") > F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)) + GAP
+    m = m.withColumn("island", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(w))
+    m = m.groupBy("doc_id", "rid", "t", "label", "base", "grams", "band", "island").agg(F.min("lo").alias("start"), (F.max("hi") + 3).alias("end"), F.size(F.array_distinct(F.flatten(F.collect_list("seen")))).alias("n"))
     fits = F.col("end") - F.col("start") <= F.ceil(F.lit(STRETCH) * (F.col("grams") + 2))
     m = m.withColumn("cover", F.when(fits, F.col("n") / F.col("grams")).otherwise(0.0))
     return exact.unionByName(m.select(*exact.columns))
 
 
 def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, cover: float = COVER) -> DataFrame:
-    voted = votes(docs, notices)
+    voted = common.table(votes(docs, notices), "license-votes")
     ends = voted.where("t = -1").select("doc_id", "rid", F.lit(-1).alias("t"), "label", F.lit(None).cast("boolean").alias("base"), F.col("diagonal").alias("start"), F.col("hi").alias("end"), F.lit(0.0).alias("cover"))
     found = places(voted).unionByName(ends)
     is_base, held = F.col("base") & (F.col("t") >= 0), (F.col("t") >= 0) & (F.col("cover") >= cover)
