@@ -9,11 +9,15 @@ Pieces of one length are alike, so the choice is made on their counts: a histogr
 `tokens` rows reaches the driver, whatever the corpus holds, and sequences with equal residuals
 form one group. Each decision "the next n pieces of this length go, one each, to sequences
 lo..lo+n at this offset" is an event. A piece finds its event by its rank within its length;
-ranks are counted within (length, bucket) and shifted by the buckets before, so no length is a
-hot group.
-
-Defined cases: a null or empty text is the end token alone; repeated rows are packed as often as
-they occur; an empty table gives an empty result; only doc_id and text are read.
+ranks are counted within (length, bucket) and shifted by the buckets before. A length has a bucket
+per BUCKET_ROWS of its pieces, so none is a hot group however many there are, and each bucket gets
+only the events that its ranks meet. Where a piece fills a sequence, nothing is chosen: pieces of the
+full length, most of a corpus of long texts, get a sequence each without rank or shuffle.
+
+Defined cases: a null or empty text is the end token alone; a very long text is cut into pieces like any
+other, its ids held by one task; a null id is an id like others; pieces that tie in length, rows that repeat
+an id or all of it, are packed as often as they occur, in any order; an empty table gives an empty result;
+only doc_id and text are read, whatever other columns are named.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ TOKENS = 1024
 DOCUMENTS = 1024
 COST = TOKENS * TOKENS
 WEIGHTS = (1.0, 1e-6, 1e-6)
-BUCKETS = 64
+BUCKET_ROWS = 200_000
 END = 2
 SPECIAL = "<|endoftext|>"
 
@@ -128,21 +132,34 @@ def events(counts: dict[int, int], tokens: int, documents: int, cost: int, weigh
 def pack(pieces: DataFrame, tokens: int = TOKENS, documents: int = DOCUMENTS, cost: int = COST, **how) -> DataFrame:
     """Written-out pieces -> the same rows with sequence_id and offset."""
     spark = pieces.sparkSession
-    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)))
-    counted = rows.groupBy("length", "bucket").count().withColumnRenamed("length", "c_length").withColumnRenamed("bucket", "c_bucket")
-    counted = common.table(counted, "pack-counts")  # at most tokens * BUCKETS rows
+    histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `tokens` rows
+    alone = histogram.pop(tokens, 0) if documents >= 1 and cost >= tokens * tokens else 0
+    if not histogram:
+        return pieces.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rows = pieces.where(F.col("length") != tokens) if alone else pieces
+    lengths = spark.createDataFrame([(n, max(1, -(-c // BUCKET_ROWS))) for n, c in histogram.items()], "b_length long, b_n long")
+    rows = rows.join(F.broadcast(lengths), F.col("length") == F.col("b_length")).withColumn("bucket", F.pmod(F.monotonically_increasing_id(), F.col("b_n")))
+    rows = common.table(rows.drop("b_length", "b_n"), "pack-rows")
+    counted = rows.groupBy(F.col("length").alias("c_length"), F.col("bucket").alias("c_bucket")).count()
     before = Window.partitionBy("c_length").orderBy("c_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shift = counted.select("c_length", "c_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift"))
-    rows = rows.join(F.broadcast(shift), (F.col("length") == F.col("c_length")) & (F.col("bucket") == F.col("c_bucket")))
-    rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1 + F.col("shift")
-    histogram = {r[0]: r[1] for r in counted.groupBy("c_length").agg(F.sum("count")).collect()}
-    places: dict[int, list] = {}
-    for length, *rest in events(histogram, tokens, documents, cost, **how):
-        places.setdefault(length, []).append(tuple(rest))
-    plan = spark.createDataFrame([*places.items()], "e_length long, places array<struct<first: long, n: long, sequence: long, at: long>>")
-    rows = rows.withColumn("rank", rank).join(F.broadcast(plan), F.col("length") == F.col("e_length"))
+    shift = counted.select("c_length", "c_bucket", "count", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("shift"))
+    plan, opened = [], 0
+    for length, first, n, sequence, at in events(histogram, tokens, documents, cost, **how):
+        plan.append((length, first, n, sequence, at))
+        opened = max(opened, sequence + n)
+    plan = spark.createDataFrame(plan, "e_length long, first long, n long, sequence long, at long")
+    meets = (F.col("c_length") == F.col("e_length")) & (F.col("first") < F.col("shift") + F.col("count")) & (F.col("shift") < F.col("first") + F.col("n"))
+    shift = shift.join(F.broadcast(plan), meets).groupBy("c_length", "c_bucket", "shift").agg(F.array_sort(F.collect_list(F.struct("first", "n", "sequence", "at"))).alias("places"))
+    shift = common.table(shift, "pack-places")  # a row per length and bucket
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1)
+    rows = common.join_small(rows, shift, (F.col("length") == F.col("c_length")) & (F.col("bucket") == F.col("c_bucket")))
+    rows = rows.withColumn("rank", F.col("nth") + F.col("shift"))
     place = F.filter("places", lambda e: (e["first"] <= F.col("rank")) & (F.col("rank") < e["first"] + e["n"]))[0]
-    return rows.withColumn("place", place).select(*pieces.columns, (F.col("place.sequence") + F.col("rank") - F.col("place.first")).alias("sequence_id"), F.col("place.at").alias("offset"))
+    out = rows.withColumn("place", place).select(*pieces.columns, (F.col("place.sequence") + F.col("rank") - F.col("place.first")).alias("sequence_id"), F.col("place.at").alias("offset"))
+    if alone:
+        full = pieces.where(F.col("length") == tokens)
+        out = out.unionByName(full.select("*", (F.monotonically_increasing_id() + opened).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
+    return out
 
 
 def pack_documents(docs: DataFrame, **how) -> DataFrame:
