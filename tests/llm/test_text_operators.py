@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 from collections import Counter
@@ -5,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from vellum.llm import fingerprints, jaccard, licenses, linededup, mixing, packing, quality
+from vellum.llm import common, fingerprints, jaccard, licenses, linededup, mixing, packing, quality
 
 from .data import CLASHING, SCHEMA, documents, odd, prose, with_clashes
 
@@ -38,6 +39,13 @@ def test_licenses_match_brute_force_and_find_edited_notices(spark):
     assert got[4]["labels"] == "" and got[7]["score"] == 0
 
 
+def test_a_stray_hit_between_two_parts_of_a_notice_does_not_split_it(spark):
+    w = licenses.words_of(licenses.NOTICES["bsd"])
+    text = " ".join([*w[:10], *w[12:15], *w[10:]])  # three words of a far diagonal amid an edited notice
+    got = rows(licenses.scan(documents(spark, [(1, text)])))[0]
+    assert [(x["label"], x["start"], x["end"]) for x in got["spans"]] == [("bsd", 0, len(w) + 3)]
+
+
 def test_licenses_odd_rows(spark):
     got = rows(licenses.scan(with_clashes(odd(spark))))
     assert len(got) == 10 and all(r["n_words"] is not None for r in got)
@@ -138,6 +146,44 @@ def test_packing_matches_the_tokenizer(spark):
     assert rows(packing.pack_documents(documents(spark, []))) == []
 
 
+def test_packing_with_capacities_that_bind(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 40)
+    rng = np.random.default_rng(8)
+    lengths = rng.integers(1, 65, 900).tolist() + [64] * 70
+    pieces = common.table(spark.createDataFrame([(None if i % 5 == 0 else i, 0, 0, n, 0) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long"), "test-pieces")
+    for documents_, cost, how in ((64, 4096, {}), (3, 4096, {"weights": (1.0, 1.0, 1.0)}), (64, 1500, {"weights": (0.2, 0.2, 1.0), "rule": "dot"})):
+        fits = pieces.where(pieces.length**2 <= cost)
+        got = rows(packing.pack(common.table(fits, "test-fits"), 64, documents_, cost, **how))
+        assert Counter(r["length"] for r in got) == Counter(n for n in lengths if n * n <= cost)
+        by = {}
+        for r in got:
+            by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for s in by.values():
+            at = 0
+            for offset, length in sorted(s):
+                assert offset == at
+                at += length
+            assert at <= 64 and len(s) <= documents_ and sum(n * n for _, n in s) <= cost
+        total = [sum(r["length"] for r in got) / 64, len(got) / documents_, sum(r["length"] ** 2 for r in got) / cost]
+        assert len(by) <= 1.1 * max(total) + 3
+
+
+def test_packing_ids_over_a_whole_table():
+    """The rank file's ids against the tokenizer file's, over every text of the table."""
+    import os
+
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    texts = [t or "" for t in pq.read_table(path, columns=["text"])["text"].to_pylist()]
+    ids, t = packing._tokenizer(None, None), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert all(ids(x) == e.ids for x, e in zip(texts, t.encode_batch(texts, add_special_tokens=False)))
+
+
 # 4 jaccard
 
 
@@ -220,7 +266,7 @@ def brute_likeness(a, b):
 def test_fingerprints_match_set_differences(spark, monkeypatch):
     import hashlib
 
-    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 13)
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 3000)
     docs = [(i * 3, "\n".join(prose(i * 40 + k, 9) for k in range(i % 60))) for i in range(120)] + [(1000, "same\n" * 30), (1001, "same\n" * 31), (1002, ""), (1003, None), (1004, "x")]
     got = {r["doc_id"]: r for r in rows(fingerprints.fingerprint(documents(spark, docs)))}
     assert len(got) == len(docs)
@@ -234,6 +280,27 @@ def test_fingerprints_match_set_differences(spark, monkeypatch):
     assert got[1002]["fingerprint"] == got[1003]["fingerprint"]
 
 
+def test_fingerprints_recover_what_differs():
+    a, b = [f"paragraph {i} of this text" for i in range(300)], [f"paragraph {i} of this text" for i in range(60, 290)] + ["new", "more"]
+    da, db = fingerprints.digests(["\n".join(a), "\n".join(b)])
+    one, other = fingerprints.sketches([da, db])
+    gone, came = fingerprints.recover(one, other)
+    assert set(gone.tolist()) == set(da.tolist()) - set(db.tolist()) and set(came.tolist()) == set(db.tolist()) - set(da.tolist())
+    short = fingerprints.digests(["only this"])[0]
+    small = fingerprints.sketches([short])[0]
+    assert len(small) < len(one) and fingerprints.recover(small, one) is None  # too much differs for the smaller table
+    gone, came = fingerprints.recover(small, fingerprints.sketches([fingerprints.digests(["and that"])[0]])[0])
+    assert gone.tolist() == short.tolist() and len(came) == 1
+    assert [len(x) for x in fingerprints.recover(one, one)] == [0, 0]
+
+
+def test_fingerprints_of_many_rows_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 500)
+    docs = documents(spark, [(None, prose(i, 30)) for i in range(60)] + [(7, "seven\nlines")])
+    ranges = {r["range"] for r in rows(fingerprints.in_order(docs).select("range").distinct())}
+    assert len(ranges) > 5 and len(rows(fingerprints.fingerprint(docs))) == 61
+
+
 def test_fingerprints_odd_rows(spark):
     got = rows(fingerprints.fingerprint(with_clashes(odd(spark))))
     assert len(got) == 10
@@ -356,13 +423,14 @@ def test_thresholds_follow_one_rule_at_all_sizes(spark):
 
 
 def brute_dedup(docs, least=50):
-    """Removes the lines of every window of `least` words, grown from either end, that occurred before."""
-    seen, out = set(), {}
+    """Removes the lines of every shortest window of `least` words, grown from either end, that occurred before and ended before it starts."""
+    seen, out = {}, {}
     for key, text in docs:
         lines = text.split("\n")
-        n, gone, windows = [len(x.split()) for x in lines], set(), set()
-        for a in range(len(lines)):
-            for step, stop in ((1, len(lines)), (-1, -1)):
+        kept = [k for k, x in enumerate(lines) if x.split()]
+        n, gone, windows = [len(lines[k].split()) for k in kept], set(), set()
+        for a in range(len(kept)):
+            for step, stop in ((1, len(kept)), (-1, -1)):
                 s = 0
                 for b in range(a, stop, step):
                     s += n[b]
@@ -370,10 +438,10 @@ def brute_dedup(docs, least=50):
                         windows.add((min(a, b), max(a, b)))
                         break
         for a, b in sorted(windows):
-            t = "\n".join(lines[a : b + 1])
-            if t in seen:
-                gone |= set(range(a, b + 1))
-            seen.add(t)
+            t = tuple(lines[k] for k in kept[a : b + 1])
+            d, last = seen.setdefault(t, (key, b))
+            if d != key or last < a:
+                gone |= set(range(kept[a], kept[b] + 1))
         out[key] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out
 
@@ -384,20 +452,51 @@ def test_line_dedup_matches_brute_force(spark):
     docs = []
     for i in range(120):
         parts = [prose(i * 7, 20), common_line, passages[i % 9] if i % 4 else "nothing", prose(i * 7 + 1, 30), common_line]
-        if i % 10 == 3 and i % 9 < 7:  # a repeated line beside a repeated run goes with it, so no short ones here
-            parts += [passages[(i + 1) % 9], passages[i % 9]]
+        if i % 10 == 3:
+            parts += [common_line, passages[(i + 1) % 9], passages[i % 9], ""]
         docs.append((i, "\n".join(parts)))
     docs += [(200, docs[5][1]), (201, docs[5][1]), (202, "\n".join([common_line] * 40)), (203, "\n".join([common_line] * 40))]
     want = brute_dedup(docs)
     got = {r["doc_id"]: r for r in rows(linededup.dedup(documents(spark, docs)))}
     for i, _ in docs:
-        if i != 202:  # a line that repeats itself within one document has no one reading
-            assert got[i]["text"] == want[i], i
+        assert got[i]["text"] == want[i], i
         assert got[i]["n_chars"] == len(got[i]["text"])
-    assert got[203]["text"] == ""
+    assert got[202]["text"] == "\n".join([common_line] * 13) and got[203]["text"] == ""
     assert got[1]["text"] == docs[1][1]
 
 
+def random_corpus(r):
+    """Documents of few different lines, so that runs repeat, overlap, nest and touch in every way."""
+    lines = [" ".join(f"w{k}x{j}" for j in range(r.choice([0, 1, 3, 4, 7]))) for k in range(r.choice([3, 5, 9]))]
+    block = [[r.choice(lines) for _ in range(r.randrange(2, 9))] for _ in range(3)]
+    docs = []
+    for i in range(r.randrange(2, 7)):
+        out = []
+        for _ in range(r.randrange(1, 6)):
+            out += r.choice(block) if r.random() < 0.5 else [r.choice(lines) for _ in range(r.randrange(1, 5))]
+        docs.append((i, "\n".join(out)))
+    return docs
+
+
+def test_line_dedup_matches_brute_force_on_random_corpora(spark):
+    """A thousand corpora at once: words carry their corpus's number, so that none meets another."""
+    r, docs, want = random.Random(4), [], {}
+    for c in range(1000):
+        one = [(c * 10 + i, re.sub(r"\w+", lambda m, c=c: f"{m[0]}c{c}", t)) for i, t in random_corpus(r)]
+        docs += one
+        want |= brute_dedup(one, 10)
+    got = {r["doc_id"]: r["text"] for r in rows(linededup.dedup(documents(spark, docs), 10))}
+    assert got == want
+    assert sum(want[i] != t for i, t in docs) > 500
+
+
+def test_line_dedup_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    docs = [(i, f"{prose(i, 20)}\n{prose(5000 + i % 3, 60)}\n{prose(6000 + i, 20)}") for i in range(20)]
+    got = {r["doc_id"]: r["text"] for r in rows(linededup.dedup(documents(spark, docs)))}
+    assert got == brute_dedup(docs)
+
+
 def test_line_dedup_keeps_two_places_of_one_source_apart(spark):
     x = [None, *(prose(700 + i, 10) for i in range(1, 9))]
     one = "\n".join([*x[1:6], prose(750, 10), *x[3:9]])
