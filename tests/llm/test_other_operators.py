@@ -1,7 +1,11 @@
 import hashlib
 import io
+import math
+import os
+import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -127,6 +131,86 @@ def test_copies_of_a_page_are_not_boilerplate(spark):
     assert all(got[i] == want for i in range(1000)) and got[2001] == "Title 1 Own text 1"
 
 
+def brute_tree(pages):
+    """(host -> path -> importance, from_one, from_none, held), and each page's text, by plain recursion over the merged tree."""
+    sites, out, texts = {}, {}, []
+    host = lambda url: (re.match(r"[a-z]+://([^/]*)", url or "") or [None, ""])[1]
+    for _, url, html in pages:
+        sites.setdefault(host(url), {})[html or ""] = extraction.parse(html or "")
+    entropy = lambda counts: 1.0 if sum(counts) < 2 else -sum(c / sum(counts) * math.log(c / sum(counts)) for c in counts) / math.log(sum(counts))
+    for name, site in sites.items():
+        held, styles, contents, below = Counter(), {}, {}, {}
+        for page in site.values():
+            kids = page.children()
+            for k, path in enumerate(page.paths):
+                held[path] += 1
+                styles.setdefault(path, Counter())[frozenset(page.paths[c] for c in kids[k])] += 1
+                for c in kids[k]:
+                    below.setdefault(path, Counter())[page.paths[c]] += 1 / len(kids[k])
+            for path, text in {(page.paths[b.node], b.text) for b in page.blocks}:
+                contents.setdefault(path, Counter())[text] += 1
+
+        def importance(path, held=held, styles=styles, contents=contents, below=below):
+            if path in contents:
+                return entropy(contents[path].values())
+            turns = extraction.GAMMA ** len(styles[path])
+            return (1 - turns) * entropy(styles[path].values()) + turns * sum(w / held[path] * importance(c) for c, w in below.get(path, {}).items())
+
+        def down(path, first, held=held):
+            above = down(path.rpartition("/")[0], first) if path else first
+            return (held[path] * importance(path) + extraction.KNOWN * above) / (held[path] + extraction.KNOWN)
+
+        out[name] = {path: (importance(path), down(path, 1.0), down(path, 0.0), held[path]) for path in held}, contents
+    for page_id, url, html in pages:
+        page, (tree, contents) = extraction.parse(html or ""), out[host(url)]
+        said = []
+        for b in page.blocks:
+            path = page.paths[b.node]
+            _, one, none, m = tree[path]
+            if b.role > extraction.AROUND and (none if b.role == extraction.BESIDE else one) * extraction.WEIGHTS[b.role] >= extraction.LEAST_IMPORTANCE and contents[path][b.text] - 2 < extraction.REPEATED_SHARE * m:
+                said.append(b.text)
+        texts.append((page_id, " ".join(said)))
+    return {h: tree for h, (tree, _) in out.items()}, texts
+
+
+def test_style_tree_matches_brute_force(spark, monkeypatch):
+    r, pages = random.Random(3), []
+    word = lambda n: " ".join(r.choice(["sea", "hill", "lamp", "rain", "door", "coal"]) for _ in range(n))
+    for i in range(90):
+        body = [f"<div class=top{i % 2}><p>{word(1)}</p><ul><li>Home<li>News</ul></div>" if r.random() < 0.8 else "", f"<div class=mid><section><h2>{word(4)}</h2>" + "".join(f"<p>{word(3)}</p>" for _ in range(r.randrange(4))) + "</section></div>"]
+        body.append(r.choice(["<article><p>same each time</p><p>" + word(6) + "</p><div class='end x'>the end</div></article>", "<nav><a href=x>menu</a></nav>", "<p>stray " + word(1) + "</p>", ""]))
+        pages.append((i, f"http://{r.choice('aaaaabbc')}.example/{i}", "<body>" + "".join(body) + f"<div class=tail><b>{word(1)}</b> text</div></body>"))
+    pages += [(200 + i, "http://a.example/copy", pages[0][2]) for i in range(20)] + [(300, None, None), (301, "http://d.example/", "")]
+    tree, texts = brute_tree(pages)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    every = common.table(extraction.parsed(df), "test-parsed")
+    judged, _ = extraction.style_tree(every.where("id IS NULL"), every.select("id", "chain"))
+    got = {(x["host"], x["id"]): (x["importance"], x["from_one"], x["from_none"], x["held"]) for x in rows(judged)}
+    want = {(h, extraction._number(path)): v for h, nodes in tree.items() for path, v in nodes.items()}
+    assert got.keys() == want.keys() and len(got) > 60
+    for k, v in want.items():
+        assert got[k] == pytest.approx(v), k
+    assert sorted((x["page_id"], x["text"]) for x in rows(extraction.extract(df))) == sorted(texts)
+    prior = {i: " ".join(b.text for b in extraction.blocks(h or "")) for i, _, h in pages}
+    assert sum(prior[i] != t for i, t in texts) > 20  # the tree does decide
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    assert sorted((x["page_id"], x["text"]) for x in rows(extraction.extract(df))) == sorted(texts)
+
+
+def test_blocks_of_the_test_pages_go_through_the_tree(spark):
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    every = common.table(extraction.parsed(spark.read.parquet(path)), "test-parsed")
+    judged, contents = extraction.style_tree(every.where("id IS NULL"), every.select("id", "chain"))
+    assert judged.where("held > 1").count() > 100 and contents.agg({"n": "sum"}).first()[0] > 2500
+
+
+def test_elements_below_the_deepest_are_part_of_the_node_above():
+    page = extraction.parse("<div>" * 400 + "deep" + "</div>" * 400 + "<p>x</p>")
+    assert max(page.depth) == extraction.MAX_DEPTH + 1 and [b.text for b in page.blocks] == ["deep", "x"]
+
+
 def test_long_page():
     page = "<article>" + "".join(f"<p>para {i} &amp; more</p>" for i in range(20000)) + "</article>"
     assert len(extraction.blocks(page)) == 20000
