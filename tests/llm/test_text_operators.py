@@ -254,6 +254,42 @@ def test_forest_depth():
     assert 1 - (1 - 0.8**d) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES
 
 
+def test_prefixes_are_shortened_until_the_recall_is_reached(spark):
+    """No company, or little of it: the shortest prefix. Much, and alike: the longest."""
+    trees, s = jaccard.TREES, 0.95
+    given = [(0, 0, 0, 0), (1, 3, 2, 1)] + [(2 + k, *[round(n * trees * s**d) for d in (4, 5, 6)]) for k, n in enumerate((4, 9, 400))]
+    company = spark.createDataFrame(given, "rid long, a_4 long, a_5 long, a_6 long")
+    stop = {r["rid"]: r["stop"] for r in rows(jaccard.stop_depth(company, 4, 6, trees, 0.8, jaccard.RECALL))}
+    assert stop[0] == stop[1] == 4 and stop[4] == 6 and stop[2] <= stop[3] <= stop[4]
+    for rid, n in ((2, 4), (3, 9), (4, 400)):
+        d = stop[rid]
+        lost = n * (1 - s**d) ** trees + (1 - 0.8**d) ** trees
+        assert d == 4 or lost / (n + lost) <= 2 * (1 - jaccard.RECALL)
+
+
+def test_recall_of_the_forest_alone(spark):
+    """Pairs just above the threshold, each by itself: the trees must bring them together without a component's help."""
+    docs, pairs = [], 0
+    for i in range(500):
+        text = prose(3000 + i, 130)
+        other = near(text, 2, 7 + i)
+        docs += [(2 * i, text), (2 * i + 1, other)]
+    got = {r["doc_id"]: r["n_links"] for r in rows(jaccard.classes_of(documents(spark, docs)))}
+    want = 0
+    for i in range(500):
+        a, b = (set(zip(*[re.findall(r"\w+", t.lower())[k:] for k in range(5)])) for t in (docs[2 * i][1], docs[2 * i + 1][1]))
+        want += len(a & b) >= 0.8 * len(a | b)
+        pairs += got[2 * i]
+    assert want > 400 and pairs >= 0.995 * want
+
+
+def test_jaccard_without_broadcasts(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    docs = [(i, near(prose(5, 100), i % 4, i)) for i in range(30)] + [(100 + i, prose(50 + i, 60)) for i in range(10)]
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in rows(jaccard.classes_of(documents(spark, docs))))
+    assert got == brute_classes(docs)
+
+
 # 6 fingerprints
 
 

@@ -1,26 +1,39 @@
-"""N-gram Jaccard join: MinHash banding, then exact verification.
+"""N-gram Jaccard join: MinHash LSH forest, then exact verification.
 
 Texts are sets of word WORDS-grams; texts with one set are one class, of which one text stands for
-all. A signature of TREES * depth minima is cut into TREES bands, called trees here. The depth is
-one for all texts: the most, up to MAX_DEPTH, with which a pair at the threshold meets with
-probability RECALL in some tree (4 with these constants). There are no sorted tries, and no prefix is
-shortened by what a text meets. Texts with one prefix are candidates. Signatures of candidates are compared, and what looks
-similar at all (ROUGH) is joined into candidate components, within which every pair is verified
-exactly on whole sets. So a pair that no tree brought together is still found if it lies in one
-component.
-
-Nothing emits the pairs of a group: prefixes and components with many texts are cut into chunks of
+all. A signature is TREES bands of MAX_DEPTH minima. Each tree is a trie of its bands: a node is a
+prefix of one, and texts that share it are sorted under it. The tries are tables of (tree, depth, prefix)
+with their numbers of texts, counted from the shortest prefix of use downwards, so only
+nodes with company are ever split further.
+
+A text looks for company from the longest prefix upwards, in all trees at once, and shortens it until
+the target recall is reached. How many neighbours it has and how similar they are is estimated from
+how many texts share its nodes at the two longest prefixes; of these, and of one more neighbour at
+the threshold that nothing tells of, a prefix of depth d misses (1 - s^d)^TREES each. A text of a large
+group of copies thus stops at long prefixes, where few others are met; one with little company goes on
+to the depth at which any pair at the threshold meets with probability RECALL (4 with these constants),
+which is the shortest there is. A text meets all that stand under the nodes it stopped at, however far
+they themselves went on. Nodes of several trees with the same texts are one.
+
+Signatures of texts that meet are compared, and what looks similar at all (ROUGH) is joined into candidate
+components, within which every pair is verified exactly on whole sets. So a pair that no tree brought
+together is still found if it lies in one component.
+
+Nothing emits the pairs of a group: nodes and components with many texts are cut into chunks of
 bounded size, a pair of chunks to a task, and a task returns per text its number of links and the
-least text it is connected to. Prefix minima and counts are pre-aggregated. Word sets are built
-again from the texts for candidates only, and never shuffled for the others.
+least text it is connected to. Node counts and minima are pre-aggregated; keys are shuffled without
+signatures, which are joined once per node a text is met in. Word sets are built again from the texts for
+candidates only, and never shuffled for the others.
 
 Result: per row of the input its class_id, the smallest doc_id of the texts connected by links,
 and n_links, the number of other rows with similarity of at least the threshold, copies included.
 
 Defined cases: words are runs of letters, digits and underscores of the lower-cased text; a text of
-fewer than WORDS words has one shingle of them all; a null text or one without words links to
-nothing; rows may repeat and then link to each other; a null id is last in order and its class_id
-null unless linked; an empty table gives no rows; other columns are not read.
+fewer than WORDS words has one shingle of them all; a very long text is one set like any other, held by the
+tasks that compare it; a null text or one without words links to nothing; rows may repeat, an id or all of
+it, and then link to each other; of ids that tie, the one with the least text hash stands for its class; a null
+id is last in order and its class_id null unless linked; an empty table gives no rows; other columns, whatever
+their names, are not read, and keep_one passes them through. Sets are told apart by two 64-bit sums.
 """
 
 from __future__ import annotations
@@ -40,7 +53,7 @@ from .components import components
 WORDS = 5
 THRESHOLD = 0.8
 TREES = 16
-MAX_DEPTH = 8
+MAX_DEPTH = 6
 RECALL = 0.9995
 ROUGH = 0.55
 CHUNK_TEXTS = 512
@@ -142,11 +155,56 @@ def sign(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
     return docs.mapInArrow(run, "did long, tk long, set_a long, set_b long, n long, sig binary")
 
 
-def tree_keys(sigs: DataFrame, trees: int, depth: int) -> DataFrame:
-    """rid, sig -> with the prefix of each tree as a number."""
-    width = 4 * depth
-    keys = F.array(*[F.xxhash64(F.substring("sig", 1 + t * width, width)) for t in range(trees)])
-    return sigs.select("rid", "sig", F.posexplode(keys).alias("tree", "prefix"))
+def tree_keys(sigs: DataFrame, trees: int, depths: list[int], most: int = MAX_DEPTH) -> DataFrame:
+    """rid, sig[, tree] -> rid, tree, depth, prefix: the nodes of each text at the given depths, in all trees or the one named."""
+    width = 4 * most
+    here = lambda t, d: F.xxhash64(F.substring("sig", F.lit(1) + t * width, F.lit(4 * d)))
+    if "tree" in sigs.columns:
+        each = F.array(*[F.struct(F.lit(d).alias("depth"), here(F.col("tree"), d).alias("prefix")) for d in depths])
+        return sigs.select("rid", "tree", F.explode(each).alias("x")).select("rid", "tree", "x.*")
+    each = F.array(*[F.struct(F.lit(t).alias("tree"), F.lit(d).alias("depth"), here(F.lit(t), d).alias("prefix")) for t in range(trees) for d in depths])
+    return sigs.select("rid", F.explode(each).alias("x")).select("rid", "x.*")
+
+
+def missed(s: Column | float, depth: int, trees: int) -> Column:
+    """The probability that a neighbour of similarity s shares no prefix of this depth."""
+    s = s if isinstance(s, Column) else F.lit(float(s))
+    return F.pow(1 - F.pow(s, F.lit(float(depth))), F.lit(float(trees)))
+
+
+def stop_depth(company: DataFrame, lowest: int, most: int, trees: int, threshold: float, recall: float) -> DataFrame:
+    """rid, a_<depth> (over all trees, how many other texts share its node) -> rid, stop: the longest prefix that reaches the recall, at least the lowest."""
+    longest, next_ = F.col(f"a_{most}"), F.col(f"a_{max(most - 1, lowest)}")
+    s = F.least(F.greatest(F.coalesce(F.try_divide(longest, next_), F.lit(0.0)), F.lit(float(threshold))), F.lit(1.0))
+    n = longest / (trees * F.pow(s, F.lit(float(most))))
+    stop = F.lit(lowest)
+    for d in range(lowest + 1, most + 1):
+        found = n * (1 - missed(s, d, trees))
+        lost = n * missed(s, d, trees) + missed(threshold, d, trees)
+        stop = F.when(found >= recall * (found + lost), d).otherwise(stop)
+    return company.select("rid", stop.alias("stop"))
+
+
+def meetings(reps: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, most: int = MAX_DEPTH) -> DataFrame:
+    """rid, sig -> node, rid, asks, n_here: the texts that meet under a node, and whether a text stopped there; nodes where none did are left out."""
+    lowest = depth_for(threshold, trees, most, recall)
+    keyed = tree_keys(reps, trees, [lowest])
+    crowded = keyed.groupBy(F.col("tree").alias("c_tree"), F.col("prefix").alias("c_prefix")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    rows = common.join_small(keyed, common.table(crowded, "jaccard-crowded"), (F.col("tree") == F.col("c_tree")) & (F.col("prefix") == F.col("c_prefix")))
+    rows = common.table(rows.select("rid", "tree"), "jaccard-company")
+    rows = rows.groupBy("rid").agg(F.collect_list("tree").alias("in_trees"))  # at most `trees` of them
+    rows = reps.select(F.col("rid").alias("s_rid"), "sig").join(rows, F.col("s_rid") == F.col("rid")).select("rid", "sig", F.explode("in_trees").alias("tree"))
+    paths = common.table(tree_keys(rows, trees, [*range(lowest, most + 1)], most), "jaccard-paths")
+    nodes = paths.groupBy(F.col("tree").alias("n_tree"), F.col("depth").alias("n_depth"), F.col("prefix").alias("n_prefix")).agg(F.count("*").alias("n_here"), F.bit_xor(F.xxhash64("rid")).alias("all_a"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("all_b")).where("n_here > 1")
+    nodes = nodes.withColumn("node", F.xxhash64("n_here", "all_a", "all_b", "n_depth")).drop("all_a", "all_b")
+    same = (F.col("tree") == F.col("n_tree")) & (F.col("depth") == F.col("n_depth")) & (F.col("prefix") == F.col("n_prefix"))
+    paths = common.table(common.join_small(paths, common.table(nodes, "jaccard-nodes"), same).select("rid", "depth", "node", "n_here"), "jaccard-met")
+    company = paths.groupBy("rid").agg(*[F.sum(F.when(F.col("depth") == d, F.col("n_here") - 1).otherwise(0)).alias(f"a_{d}") for d in range(lowest, most + 1)])
+    stops = stop_depth(company, lowest, most, trees, threshold, recall)
+    met = paths.distinct().join(stops, "rid").withColumn("asks", F.col("depth") == F.col("stop"))
+    met = common.table(met.select("node", "rid", "asks", "n_here"), "jaccard-meetings")
+    asked = common.table(met.where("asks").select(F.col("node").alias("q_node")).distinct(), "jaccard-asked")
+    return common.join_small(met, asked, F.col("node") == F.col("q_node"), "left_semi")
 
 
 def chunked(rows: DataFrame, key: list[str], chunks: Column) -> DataFrame:
@@ -205,11 +263,14 @@ def _square(a: np.ndarray, second: np.ndarray, both: bool) -> np.ndarray:
 def rough_edges(pdf: pd.DataFrame, rough: float = ROUGH) -> pd.DataFrame:
     sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
     ids = pdf["rid"].to_numpy()
-    like = np.zeros((len(ids), len(ids)), np.int32)
+    second, asks = pdf["second"].to_numpy(), pdf["asks"].to_numpy(bool)
+    if not asks.any():
+        return pd.DataFrame({"u": ids[:0], "v": ids[:0]})
+    like = np.zeros((len(ids), len(ids)), np.uint16)
     for k in range(sig.shape[1]):
         like += sig[:, k, None] == sig[None, :, k]
-    second = pdf["second"].to_numpy()
-    least = _least(_square(like >= rough * sig.shape[1], second, pdf["i"].iloc[0] != pdf["j"].iloc[0]), ids)
+    links = (like >= rough * sig.shape[1]) & (asks[:, None] | asks[None, :])
+    least = _least(_square(links, second, pdf["i"].iloc[0] != pdf["j"].iloc[0]), ids)
     at = least < ids
     return pd.DataFrame({"u": ids[at], "v": least[at]})
 
@@ -246,23 +307,20 @@ def verified(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """did, tk, class_id, n_links for each distinct (id, text)."""
-    depth = depth_for(threshold, trees, MAX_DEPTH, recall)
-    signed = common.table(sign(_keyed(docs), words, trees, depth), "jaccard-signed")
+    signed = common.table(sign(_keyed(docs), words, trees, MAX_DEPTH), "jaccard-signed")
     reps = signed.groupBy("set_a", "set_b").agg(F.min(F.struct("did", "tk")).alias("rep"), F.count("*").alias("size"), F.first("sig").alias("sig"), F.first("n").alias("n"))
     reps = common.table(reps.select(F.col("set_a").alias("rid"), "set_b", F.col("rep.did").alias("did"), F.col("rep.tk").alias("tk"), "size", "sig", "n"), "jaccard-classes")
 
-    keyed = tree_keys(reps, trees, depth)
-    crowded = keyed.groupBy(F.col("tree").alias("c_tree"), F.col("prefix").alias("c_prefix")).agg(F.count("*").alias("n_here")).where("n_here > 1")
-    crowded = common.table(crowded, "jaccard-prefixes")
-    rows = common.join_small(keyed, crowded, (F.col("tree") == F.col("c_tree")) & (F.col("prefix") == F.col("c_prefix")))
-    rows = chunked(rows.select("tree", "prefix", "rid", "sig", "n_here"), ["tree", "prefix"], F.ceil(F.col("n_here") / CHUNK_TEXTS))
+    met = meetings(reps.select("rid", "sig"), threshold, trees, recall)
+    rows = met.join(reps.select("rid", "sig"), "rid")
+    rows = chunked(rows.select("node", "rid", "sig", "asks", "n_here"), ["node"], F.ceil(F.col("n_here") / CHUNK_TEXTS))
 
     def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pdf in _tasks(batches, 4, rough_edges):
+        for pdf in _tasks(batches, 3, rough_edges):
             yield pa.RecordBatch.from_pandas(pdf, preserve_index=False)
         common.release()
 
-    edges = rows.select("tree", "prefix", "i", "j", "second", "rid", "sig").mapInArrow(rough, "u long, v long").distinct()
+    edges = rows.select("node", "i", "j", "second", "rid", "asks", "sig").mapInArrow(rough, "u long, v long").distinct()
     groups = common.table(components(edges, "jaccard-rough").withColumnRenamed("root", "grp"), "jaccard-groups")
 
     members = reps.join(groups, F.col("rid") == F.col("node")).select("rid", "grp", "did", "tk", "size", "n")
