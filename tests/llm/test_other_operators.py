@@ -62,10 +62,56 @@ def test_nearest_odd_rows(spark):
     assert rows(nearest.search(df.limit(0), df)) == [] and rows(nearest.search(df.limit(0), df.limit(0))) == []
 
 
+def test_nearest_of_doubles_is_scored_in_doubles(spark):
+    rng = np.random.default_rng(2)
+    v = {i: x for i, x in enumerate(rng.standard_normal((60, 8)) * 1e60)}
+    v[7] = np.full(8, 1e200)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in v.items()], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in rows(nearest.search(df.where("vec_id % 20 = 0"), df, 5))}
+    for q in (0, 20, 40):
+        score = {i: (x * v[q]).sum() for i, x in v.items() if i != q}
+        want = sorted(score, key=lambda i: (-score[i], i))[:5]
+        assert [got[q, r + 1] for r in range(5)] == [(i, score[i]) for i in want]
+
+
+def test_nearest_in_clusters_and_copies(spark, monkeypatch):
+    """Cells that a query can skip, a hot cell of copies in several blocks, and recall of the query as registered."""
+    monkeypatch.setattr(nearest, "VECTOR_BLOCK", 200)
+    monkeypatch.setattr(nearest, "SAMPLE", 500)
+    rng = np.random.default_rng(9)
+    centres = rng.standard_normal((12, 32)) * 3
+    v = (centres[rng.integers(0, 12, 2000)] + rng.standard_normal((2000, 32)) * 0.3).astype(np.float32)
+    v[500:1200] = v[3]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in rows(nearest.search(df.where("vec_id % 20 = 0"), df)):
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    vectors = dict(enumerate(v))
+    hit = sum(len({i for _, i in found} & set(brute_nearest(vectors, q, 20))) for q, found in got.items())
+    assert len(got) == 100 and hit >= 0.97 * 2000
+
+
+def test_nearest_recall_on_the_test_table(spark):
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    df = spark.read.parquet(path).select("vec_id", "embedding")
+    table = {r["vec_id"]: np.array(r["embedding"]) for r in rows(df)}
+    ids, v = np.array([*table]), np.stack([*table.values()])
+    got = {}
+    for r in rows(nearest.op5_nearest(spark, os.path.dirname(path))):
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    hit = 0
+    for q, found in got.items():
+        score = np.where(ids == q, -np.inf, (v * table[q]).sum(1))
+        hit += len({*ids[np.lexsort((ids, -score))[:20]].tolist()} & found.keys())
+    assert hit >= 0.97 * 20 * len(got) and len(got) == sum(i % 20 == 0 for i in table)
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(5)
     v, q = rng.standard_normal((500, 48)).astype(np.float32), rng.standard_normal((50, 48)).astype(np.float32)
-    guess, bound = nearest.estimate(q, *nearest.encode(v))
+    guess, bound = nearest.estimate(q, *nearest.encode(v), width=4.0)
     off = np.abs(guess - q.astype(float) @ v.T.astype(float))
     assert (off <= bound).mean() > 0.999 and np.corrcoef(guess.ravel(), (q @ v.T).ravel())[0, 1] > 0.7
 

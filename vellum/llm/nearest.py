@@ -1,18 +1,29 @@
 """Approximate nearest neighbours by largest inner product over randomly rotated one-bit codes.
 
-Index: a vector is rotated by a seeded orthogonal matrix and keeps the sign of each coordinate,
-packed to bits, with two correction scalars: its norm and the inner product of its direction with
-its code. Search: the inner product of a query with a candidate is estimated from the bits and
-the scalars; the estimate has a known error bound, and only candidates whose upper bound reaches
-the k-th best lower bound are reranked with the original vectors in double precision.
+Index: every vector goes to the nearest of a few coarse cells, whose centres are fitted on a sample of
+at most SAMPLE rows. What is left of it after its centre is taken off is rotated by seeded orthogonal
+matrices, as many as make at least BITS coordinates, and keeps the sign of each, packed to 64-bit words, with
+two correction scalars: the length of that rest and the inner product of its direction with its code.
 
-Every row is indexed. Queries and vectors meet in blocks of bounded rows, a pair of blocks to a
-task; each pair returns its k best per query, and these are merged in two steps.
+Search, in three steps, of which only the last reads original vectors:
+
+1. Codes: a query's rotated coordinates are cut to PLANES bits, so its inner product with a code is a few
+   popcounts of packed words. That, the scalars and the query's product with the centre estimate the inner
+   product, and the estimate has a known error. A query's K-th best in the sample is a floor from the start: a cell
+   whose best possible product, by its centre and radius, is below it is skipped. A task returns per query the
+   candidates whose upper bound reaches the floor and the query's K-th best lower bound of the block.
+2. Merge: the K-th best lower bound over all blocks leaves the candidates whose upper bound reaches it.
+3. Rerank: blocks of original vectors meet the queries that still ask for them, and exact products in
+   double precision give the K best; these are merged per query.
+
+Every row is indexed. Queries and vectors meet in blocks of bounded rows, a pair of blocks to a task; a cell
+with many vectors, copies of one for example, has many blocks.
 
 Defined cases: rows whose id or vector is null, or whose vector is zero, empty or holds a null or
-non-finite component, take no part; vectors of different lengths are never compared; a query's
-candidates are the rows with another id; repeated rows are candidates as often as they occur but
-are one query; an empty table gives no rows.
+non-finite component, take no part; vectors of different lengths are never compared, however long they are; a
+query's candidates are the rows with another id; rows that repeat, an id or all of it, are candidates as often
+as they occur but are one query; scores that tie go to smaller ids; an empty table gives no rows; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,8 +40,12 @@ from . import common
 K = 20
 QUERY_BLOCK = 2048
 VECTOR_BLOCK = 8192
+BITS = 256
+PLANES = 5
 #: Standard deviations of the estimate's error that the bounds allow.
-WIDTH = 4.0
+WIDTH = 2.5
+#: Rows, and numbers in them, that centres of cells and floors of queries come from at most; cells at most.
+SAMPLE, SAMPLE_VALUES, CELLS = 16_384, 2_000_000, 256
 SEED = 20240229
 
 
@@ -40,92 +55,251 @@ def usable(v: str = "embedding") -> Column:
 
 
 @cache
-def rotation(d: int, seed: int = SEED) -> np.ndarray:
-    q, r = np.linalg.qr(np.random.default_rng(seed + d).standard_normal((d, d)))
-    return (q * np.sign(np.diag(r))).astype(np.float32)
+def rotation(d: int, seed: int = SEED, bits: int = BITS) -> np.ndarray:
+    """d rows and a multiple of d columns, at least bits: orthogonal matrices side by side."""
+    rng, out = np.random.default_rng(seed + d), []
+    for _ in range(-(-bits // d)):
+        q, r = np.linalg.qr(rng.standard_normal((d, d)))
+        out.append(q * np.sign(np.diag(r)))
+    return np.hstack(out).astype(np.float32)
+
+
+def lengths(v: np.ndarray) -> np.ndarray:
+    """Norms without overflow."""
+    scale = np.maximum(np.abs(v).max(1, keepdims=True), np.finfo(float).tiny)
+    return np.sqrt(((v / scale) ** 2).sum(1)) * scale[:, 0]
+
 
+def packed(signs: np.ndarray) -> np.ndarray:
+    """Rows of booleans as rows of 64-bit words."""
+    bits = np.packbits(signs, axis=1)
+    return np.ascontiguousarray(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))).view(np.uint64)
 
-def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed sign bits, norms, and inner products of directions with their codes."""
-    v = vectors.astype(np.float64)
-    scale = np.abs(v).max(1, keepdims=True)  # no overflow in the norm
-    norm = np.sqrt(((v / scale) ** 2).sum(1)) * scale[:, 0]
-    x = (v / norm[:, None]).astype(np.float32) @ rotation(v.shape[1])
-    return np.packbits(x >= 0, axis=1), norm, np.abs(x).sum(1) / np.sqrt(v.shape[1])
 
+def encode(vectors: np.ndarray, centre: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed signs, lengths of what the centre leaves, and inner products of its directions with their codes."""
+    rest = vectors.astype(np.float64) - (0 if centre is None else centre)
+    norm = lengths(rest)
+    turn = rotation(vectors.shape[1])
+    x = (rest / np.maximum(norm, np.finfo(float).tiny)[:, None]).astype(np.float32) @ turn
+    along = np.abs(x).sum(1) / turn.shape[1] * np.sqrt(vectors.shape[1])  # of a unit vector with sqrt(d) / bits times its code, turned back
+    return packed(x >= 0), norm, np.maximum(along, 1e-6)
 
-def estimate(queries: np.ndarray, bits: np.ndarray, norm: np.ndarray, along: np.ndarray, width: float = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products and their error bounds, queries by vectors."""
-    d = queries.shape[1]
+
+def planes(queries: np.ndarray, count: int = PLANES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rotated queries cut to count bits a coordinate: packed planes (query, plane, word), lowest value, step, sum of the cut values."""
+    x = queries.astype(np.float32) @ rotation(queries.shape[1])
+    low = x.min(1, keepdims=True)
+    step = np.maximum((x.max(1, keepdims=True) - low) / ((1 << count) - 1), np.finfo(np.float32).tiny)
+    cut = np.rint((x - low) / step).astype(np.uint32)
+    words = np.stack([packed((cut >> j & 1).astype(bool)) for j in range(count)], 1)
+    return words, low[:, 0].astype(float), step[:, 0].astype(float), cut.sum(1).astype(float)
+
+
+def estimate(queries: np.ndarray, bits: np.ndarray, norm: np.ndarray, along: np.ndarray, centre: np.ndarray | None = None, width: float = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated inner products and their error bounds, queries by vectors, from popcounts of packed words."""
     q = queries.astype(np.float64)
-    length = np.linalg.norm(q, axis=1, keepdims=True)
-    turned = (q / length).astype(np.float32) @ rotation(d)
-    signs = np.unpackbits(bits, axis=1, count=d).astype(np.float32) * 2 - 1
-    guess = (turned @ signs.T) / np.sqrt(d) / along
-    spread = np.sqrt(np.maximum(1 - along**2, 0)) / along / np.sqrt(max(d - 1, 1)) + 1e-6
-    return guess * norm * length, width * spread * norm * length
-
-
-def block_search(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, vectors: np.ndarray, bits: np.ndarray, norm: np.ndarray, along: np.ndarray, k: int) -> list[tuple[list[float], list[int]]]:
-    """Each query's best k of a block by exact score, from the candidates that the bounds leave."""
-    guess, bound = estimate(queries, bits, norm, along)
-    other = query_ids[:, None] != ids[None, :]
-    low, high = np.where(other, guess - bound, -np.inf), np.where(other, guess + bound, -np.inf)
-    n = min(k, len(ids))
-    floor = np.partition(low, len(ids) - n, axis=1)[:, len(ids) - n]
-    exact, out = vectors.astype(np.float64), []
-    for i, q in enumerate(queries.astype(np.float64)):
-        c = np.flatnonzero((high[i] >= floor[i]) & other[i])
-        score = (exact[c] * q).sum(1)
-        order = np.lexsort((ids[c], -score))[:k]
-        out.append((score[order].tolist(), ids[c][order].tolist()))
-    return out
+    length = lengths(q)
+    d, size = q.shape[1], rotation(q.shape[1]).shape[1]
+    words, low, step, total = planes(q / length[:, None])
+    count = np.zeros((len(q), len(bits)), np.uint32)
+    for j in range(words.shape[1]):
+        for w in range(words.shape[2]):
+            count += np.bitwise_count(words[:, j, w, None] & bits[None, :, w]).astype(np.uint32) << np.uint32(j)
+    ones = np.bitwise_count(bits).sum(1)
+    error = norm * (np.sqrt(np.maximum(1 - along.astype(float) ** 2, 0)) / along / np.sqrt(max(size - size // d, 1)) + 1e-6)
+    kind = np.float32 if norm.max() * length.max() < 1e30 else np.float64  # what single precision can hold
+    # the sum of a rotated query's coordinates, each with its code's sign
+    guess = (2 * step)[:, None].astype(kind) * count
+    guess += (2 * low)[:, None].astype(kind) * ones[None, :].astype(kind)
+    guess -= (step * total + low * size)[:, None].astype(kind)
+    guess *= (norm / along * np.sqrt(d) / size)[None, :].astype(kind)
+    guess *= length[:, None].astype(kind)
+    if centre is not None:
+        guess += (q @ centre)[:, None].astype(kind)
+    return guess, (width * error)[None, :].astype(kind) * length[:, None].astype(kind)
+
+
+def best_of(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    return np.lexsort((ids, -score))[:k]
+
+
+def exact(q: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """In double precision, added up in one order whatever else is compared."""
+    return (vectors * q).sum(1)
+
+
+def fit_cells(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
+    """Centres of at most `cells` cells: seeded k-means over the sample."""
+    rng = np.random.default_rng(SEED)
+    centres = sample[rng.choice(len(sample), min(cells, len(sample)), replace=False)]
+    for _ in range(rounds if len(centres) > 1 else 1):
+        own = nearest_cell(sample, centres)
+        size = np.bincount(own, minlength=len(centres))
+        total = np.zeros_like(centres)
+        np.add.at(total, own, sample)
+        centres = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], centres)
+    return centres
+
+
+def nearest_cell(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (0.5 * (centres**2).sum(1)[None, :] - v @ centres.T).argmin(1)
 
 
-def build_index(rows: DataFrame) -> DataFrame:
-    """vec_id, embedding -> with bits, norm, along."""
+class Cells:
+    """Per vector length the centres of its cells; the sample is kept to give queries their floors."""
+
+    def __init__(self, ids: list[int], vectors: list[np.ndarray], rows: int):
+        self.sample, self.centres = {}, {}
+        by: dict[int, list] = {}
+        for i, v in zip(ids, vectors):
+            by.setdefault(len(v), []).append((i, v))
+        for d, some in by.items():
+            some = some[: max(1, SAMPLE_VALUES // d)]
+            v = np.stack([x for _, x in some]).astype(np.float64)
+            with np.errstate(over="ignore", invalid="ignore"):
+                centres = fit_cells(v, max(1, min(CELLS, rows // VECTOR_BLOCK)))
+            self.sample[d], self.centres[d] = (np.array([i for i, _ in some]), v), centres if np.isfinite(centres).all() else np.zeros((1, d))
+
+    def of(self, d: int) -> np.ndarray:
+        return self.centres.get(d, np.zeros((1, d)))
+
+    def floors(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
+        """What each query's k-th best is at least: that of the sample."""
+        ids, sample = self.sample.get(queries.shape[1], (np.zeros(0), None))
+        if len(ids) < k:
+            return np.full(len(queries), -np.inf)
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = np.where(query_ids[:, None] == ids[None, :], -np.inf, queries.astype(np.float64) @ sample.T)
+            least = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
+            least = least - 1e-9 * np.abs(least)  # added up in another order than the result
+        return np.where(np.isfinite(least), least, -np.inf)
+
+
+def build_index(rows: DataFrame, centres_of: dict[int, np.ndarray]) -> DataFrame:
+    """row, vec_id, embedding -> row (its number), vec_id, d, cell, bits, norm, along: all a first pass needs."""
 
     def run(batches):
         for pdf in batches:
             for d, part in pdf.groupby(pdf["embedding"].map(len)):
-                bits, norm, along = encode(np.stack(part["embedding"].to_numpy()))
-                yield part.assign(d=d, bits=[b.tobytes() for b in bits], norm=norm, along=along)
+                v, centres = np.stack(part["embedding"].to_numpy()).astype(np.float64), centres_of.get(d, np.zeros((1, d)))
+                with np.errstate(over="ignore", invalid="ignore"):
+                    own = nearest_cell(v, centres)
+                for c in np.unique(own):
+                    at = np.flatnonzero(own == c)
+                    bits, norm, along = encode(v[at], centres[c])
+                    yield pd.DataFrame({"row": part["row"].to_numpy()[at], "vec_id": part["vec_id"].to_numpy()[at], "d": np.int32(d), "cell": np.int32(c), "bits": [b.tobytes() for b in bits], "norm": norm, "along": along.astype(np.float32)})
+
+    return rows.select("row", "vec_id", "embedding").mapInPandas(run, "row long, vec_id long, d int, cell int, bits binary, norm double, along float")
+
+
+def block_search(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, ids: np.ndarray, bits: np.ndarray, norm: np.ndarray, along: np.ndarray, centre: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per query: places and upper bounds of the block's vectors that may be among its k best, and its k best lower bounds."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        guess, bound = estimate(queries, bits, norm, along, centre)
+        low = np.where(query_ids[:, None] != ids[None, :], np.nan_to_num(guess - bound, nan=-np.inf, posinf=-np.inf), -np.inf)
+        high = np.nan_to_num(guess + bound, nan=np.inf)
+    n = min(k, len(ids))
+    best = -np.partition(-low, n - 1, axis=1)[:, :n]
+    floor = np.maximum(floors, best.min(1))[:, None]
+    keep = (high >= floor) & (query_ids[:, None] != ids[None, :])
+    return [(c := np.flatnonzero(keep[i]), high[i, c], best[i]) for i in range(len(queries))]
 
-    return rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<float>")).mapInPandas(run, "vec_id long, embedding array<float>, d int, bits binary, norm double, along double")
+
+def matrices(vectors: np.ndarray) -> tuple[dict[int, np.ndarray], np.ndarray]:
+    """Vectors by their lengths as matrices of doubles, and each one's place in its own."""
+    size = np.array([len(v) for v in vectors])
+    place, out = np.zeros(len(vectors), int), {}
+    for d in np.unique(size):
+        at = np.flatnonzero(size == d)
+        place[at], out[int(d)] = np.arange(len(at)), np.stack(vectors[at]).astype(np.float64)
+    return out, place
 
 
 def search(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest inner product for each query (vec_id, embedding)."""
-    index = common.table(build_index(rows.where(usable())), "nearest-index")
-    asked = queries.where(usable()).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<float>").alias("query"))
+    kind = "array<float>" if dict(rows.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = rows.where(usable()).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
+    rows = common.table(rows, "nearest-rows")
+    total = rows.count()
+    some = rows.sample(fraction=min(1.0, SAMPLE / max(1, total)), seed=SEED).limit(SAMPLE).select("vec_id", "embedding").toPandas()  # bounded
+    cells = Cells(some["vec_id"].tolist(), some["embedding"].tolist(), total)
+    centres_of = cells.centres
+    index = common.table(build_index(rows, centres_of), "nearest-index")
+    asked = queries.where(usable()).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast(kind).alias("query"))
     asked = asked.withColumn("q_key", F.xxhash64("query")).dropDuplicates(["query_id", "q_key"])
-    asked = common.table(asked, "nearest-queries")
-    n_v = max(1, -(-index.count() // VECTOR_BLOCK))
+
+    def floored(batches):
+        for pdf in batches:
+            for _, part in pdf.groupby(pdf["query"].map(len)):
+                for some in (part.iloc[at : at + 256] for at in range(0, len(part), 256)):
+                    yield some.assign(floor=cells.floors(some["query_id"].to_numpy(), np.stack(some["query"].to_numpy()), k))
+
+    asked = common.table(asked.mapInPandas(floored, f"query_id long, query {kind}, q_key long, floor double"), "nearest-queries")
     n_q = max(1, -(-asked.count() // QUERY_BLOCK))
-    v_block = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(n_v)).cast("int")
-    index = index.withColumn("v", v_block).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    q_block = F.pmod(F.xxhash64("query_id", "q_key"), F.lit(n_q)).cast("int")
-    asked = asked.withColumn("q", q_block).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))))
+    # a cell's blocks of so many rows each; a row per length and cell
+    blocks = index.groupBy(F.col("d").alias("b_d"), F.col("cell").alias("b_cell")).agg(F.ceil(F.count("*") / VECTOR_BLOCK).alias("parts"), F.max("norm").alias("radius"))
+    blocks = common.table(blocks, "nearest-cells")
+    part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part")
+    q_block = F.pmod(F.xxhash64("query_id", "q_key"), F.lit(n_q)).cast("int").alias("q")
+    index = index.join(F.broadcast(blocks), (F.col("d") == F.col("b_d")) & (F.col("cell") == F.col("b_cell"))).select("row", "vec_id", "d", "cell", "bits", "norm", "along", "radius", part)
+    index = index.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    pairs = asked.select("query_id", "q_key", "query", "floor", F.size("query").alias("d"), q_block)
+    pairs = pairs.join(F.broadcast(blocks), F.col("d") == F.col("b_d")).select("query_id", "q_key", "query", "floor", "q", "d", F.col("b_cell").alias("cell"), F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"))
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def first(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for d, part in left.groupby(left["query"].map(len)):
-            held = right[right["d"] == d]
-            if len(held):
-                bits = np.frombuffer(b"".join(held["bits"]), np.uint8).reshape(len(held), -1)
-                ids, vectors = held["vec_id"].to_numpy(), np.stack(held["embedding"].to_numpy())
-                for at in range(0, len(part), 256):
-                    some = part.iloc[at : at + 256]
-                    best = block_search(np.stack(some["query"].to_numpy()), some["query_id"].to_numpy(), ids, vectors, bits, held["norm"].to_numpy(), held["along"].to_numpy(), k)
-                    out.append(pd.DataFrame({"query_id": some["query_id"].to_numpy(), "q_key": some["q_key"].to_numpy(), "v": some["v"].to_numpy(), "score": [s for s, _ in best], "vec_id": [x for _, x in best]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["query_id", "q_key", "v", "score", "vec_id"], dtype=object)
-
-    found = asked.groupBy("q", "v").cogroup(index.groupBy("q", "v")).applyInPandas(run, "query_id long, q_key long, v int, score array<double>, vec_id array<long>")
-    best = F.zip_with("score", "vec_id", lambda s, i: F.struct((-s).alias("less"), i.alias("vec_id")))
+        if len(left) and len(right):
+            d, cell = int(left["d"].iloc[0]), int(left["cell"].iloc[0])
+            centre, radius = centres_of.get(d, np.zeros((1, d)))[cell], right["radius"].iloc[0]
+            bits = np.frombuffer(b"".join(right["bits"]), np.uint64).reshape(len(right), -1)
+            ids, row, norm, along = (right[c].to_numpy() for c in ("vec_id", "row", "norm", "along"))
+            for at in range(0, len(left), 256):
+                some = left.iloc[at : at + 256]
+                q = np.stack(some["query"].to_numpy()).astype(np.float64)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    may = ~(q @ centre + lengths(q) * radius < some["floor"].to_numpy())
+                some, q = some[may], q[may]
+                if len(some):
+                    best = block_search(q, some["query_id"].to_numpy(), some["floor"].to_numpy(), ids, bits, norm, along, centre, k)
+                    out += [(i, key, cell, row[place], np.nextafter(high.astype(np.float32), np.float32(np.inf)), low) for (place, high, low), i, key in zip(best, some["query_id"], some["q_key"])]
+        return pd.DataFrame(out, columns=["query_id", "q_key", "cell", "rows", "high", "low"])
+
+    keys = ["d", "cell", "part", "q"]
+    found = pairs.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInPandas(first, "query_id long, q_key long, cell int, rows array<long>, high array<float>, low array<double>")
+    found = common.table(found, "nearest-candidates")
+    # the k-th best lower bound over all blocks: each told its k best, merged in two steps
+    top = lambda c: F.slice(F.sort_array(c, asc=False), 1, k).alias("low")
+    low = found.groupBy("query_id", "q_key", F.pmod("cell", F.lit(64))).agg(top(F.flatten(F.collect_list("low"))))
+    low = low.groupBy(F.col("query_id").alias("l_id"), F.col("q_key").alias("l_key")).agg(top(F.flatten(F.collect_list("low"))))
+    low = common.table(low.select("l_id", "l_key", F.when(F.size("low") == k, F.element_at("low", -1)).otherwise(float("-inf")).alias("least")), "nearest-floors")
+    left = common.join_small(found, low, (F.col("query_id") == F.col("l_id")) & (F.col("q_key") == F.col("l_key")))
+    left = left.select("query_id", "q_key", F.explode(F.arrays_zip("rows", "high")).alias("x"), "least").where(F.col("x.high") >= F.col("least"))
+    n_v = max(1, -(-total // VECTOR_BLOCK))
+    block = F.pmod(F.xxhash64("row"), F.lit(n_v)).cast("int").alias("v")
+    wanted = left.select("query_id", "q_key", F.col("x.rows").alias("row")).select("query_id", "q_key", "row", block)
+    wanted = wanted.groupBy("v", "query_id", "q_key").agg(F.collect_list("row").alias("rows"))  # at most a block's
+    wanted = wanted.join(asked.select(F.col("query_id").alias("a_id"), F.col("q_key").alias("a_key"), "query"), (F.col("query_id") == F.col("a_id")) & (F.col("q_key") == F.col("a_key")))
+
+    def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            right = right.sort_values("row")
+            row, ids = right["row"].to_numpy(), right["vec_id"].to_numpy()
+            by, place = matrices(right["embedding"].to_numpy())
+            for query_id, q_key, q, asked_rows in zip(left["query_id"], left["q_key"], left["query"], left["rows"]):
+                at = np.searchsorted(row, np.asarray(asked_rows))
+                score = exact(q.astype(np.float64), by[len(q)][place[at]])
+                order = best_of(score, ids[at], k)
+                out.append((query_id, q_key, score[order], ids[at][order]))
+        return pd.DataFrame(out, columns=["query_id", "q_key", "score", "vec_id"])
+
+    stored = rows.select("row", "vec_id", "embedding", block)
+    best = wanted.select("v", "query_id", "q_key", "query", "rows").groupBy("v").cogroup(stored.groupBy("v")).applyInPandas(rerank, "query_id long, q_key long, score array<double>, vec_id array<long>")
+    best = best.select("query_id", "q_key", F.zip_with("score", "vec_id", lambda s, i: F.struct((-s).alias("less"), i.alias("vec_id"))).alias("best"))
     merge = lambda c: F.slice(F.array_sort(F.flatten(F.collect_list(c))), 1, k).alias("best")
-    found = found.withColumn("best", best).groupBy("query_id", "q_key", F.pmod("v", F.lit(64)).alias("v")).agg(merge("best"))
-    found = found.groupBy("query_id", "q_key").agg(merge("best"))
-    ranked = found.select("query_id", F.posexplode("best").alias("at", "one"))
+    best = best.groupBy("query_id", "q_key", F.pmod(F.xxhash64(F.element_at("best", 1)["vec_id"]), F.lit(64))).agg(merge("best")).groupBy("query_id", "q_key").agg(merge("best"))
+    ranked = best.select("query_id", F.posexplode("best").alias("at", "one"))
     return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("one.vec_id").alias("vec_id"), (-F.col("one.less")).alias("score"))
 
 
