@@ -9,15 +9,18 @@ by one rule at all sizes: of log perplexities less their language's mean, the la
 and that of all languages are averaged, the latter with the weight of 1 / (1 - quantile) documents,
 so what few documents do not tell comes from the others and what many tell is theirs.
 
-Scoring looks the n-grams of a text up in the finished tables. These are broadcast in shards of at
-most MODEL_ROWS rows: a position's look-ups of order three and up all fall into the shard of the
-two characters before it, so each shard adds its part of a text's log probability, the parts are
-summed by document (of rows equal in id and text, one a shard), and neither the text nor an unbounded table is shuffled or collected.
-
-Defined cases: a null language is the language ''; a document without text has no perplexity and
-is rejected; where a language has no held-out trusted document, nothing is known and its documents
-are kept; a document with several labels is trusted if all of them agree; rows equal in id and text share
-their result; empty tables give no rows; other columns pass through unchanged.
+Scoring joins a document block's different windows of ORDER characters, each once, with the finished
+tables. These lie in the shared folder in shards by n-gram hash, of MODEL_ROWS rows each however common a
+context is; a task goes through the shards one after another, looks up all that its block asks of each, and
+holds a few of them at a time. So every text is read once, the model passes no driver and is broadcast to
+nobody, no text is shuffled to be scored, and a document's perplexity is the sum over its windows' places.
+
+Defined cases: a null language is the language ''; a document without text has no perplexity and is rejected; a
+very long text is scored whole, in one block; where a language has no held-out trusted document, nothing is known
+and its documents are kept; a perplexity that ties with the threshold is kept; a document with several labels is
+trusted if all of them agree; a null id has no label; rows that repeat an id but not a text are documents of their
+own, and rows equal in id and text share their result; empty tables give no rows; other columns pass through
+unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,9 +39,10 @@ from . import common
 ORDER = 5
 HELD_OUT = 5
 QUANTILE = 0.975
-MODEL_ROWS = 2_000_000
+#: Rows of a shard of the model, and shards that a worker holds.
+MODEL_ROWS, HELD_SHARDS = 1_000_000, 4
 #: Characters worked on at a time, and different n-grams a task holds before it hands counts on.
-CHUNK = 500_000
+CHUNK, MOST_CHUNK = 500_000, 8_000_000
 HOLD = 200_000
 PAD = "\x02"
 MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -62,14 +66,14 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[list[int], str, np.ndarray]]:
-    """Runs of texts of about CHUNK characters: their numbers, the padded joined text and where each begins in it."""
+def _chunks(texts: list[str], most: int = CHUNK) -> Iterator[tuple[list[int], str, np.ndarray]]:
+    """Runs of texts of about `most` characters: their numbers, the padded joined text and where each begins in it."""
     at, held = [], 0
     for i, t in enumerate(texts):
         if t:
             at.append(i)
             held += len(t)
-        if at and (held >= CHUNK or i == len(texts) - 1):
+        if at and (held >= most or i == len(texts) - 1):
             parts = [PAD * (ORDER - 1) + texts[k] for k in at]
             yield at, "".join(parts), np.cumsum([0, *map(len, parts)])
             at, held = [], 0
@@ -151,22 +155,17 @@ def train(docs: DataFrame) -> DataFrame:
     return common.table(out, "kn-model")
 
 
-def _shard_of(two: np.ndarray, shards: int) -> np.ndarray:
-    return hashes(two, 2) % shards
-
-
-def compile_model(model: DataFrame, shards: int) -> DataFrame:
-    """The model packed: lang, n, kind, shard (-1: in every shard), keys and values as sorted 64- and 32-bit numbers. A row holds at most a shard's n-grams."""
+def store_model(model: DataFrame, model_rows: int = MODEL_ROWS) -> tuple[str, int]:
+    """The model in the shared folder and its number of shards: per shard rows of lang, n, kind, and keys and values as sorted 64- and 32-bit numbers."""
+    shards = max(1, -(-model.count() // model_rows))
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for (n, kind), part in pdf.groupby(["n", "kind"]):
                 size = n - (kind == "b")
                 points = _points("".join(part["g"])).reshape(len(part), size) if size else np.zeros((len(part), 0), np.uint64)
-                shard = np.full(len(part), -1)
-                if n >= 3:
-                    shard = _shard_of(points[:, -2:] if kind == "b" else points[:, -3:-1], shards)
-                yield part.assign(key=hashes(points, size), shard=shard)[["lang", "n", "kind", "shard", "key", "value"]]
+                key = hashes(points, size)
+                yield part.assign(key=key, shard=key % shards)[["lang", "n", "kind", "shard", "key", "value"]]
 
     def pack(group: tuple, rows: pa.Table) -> pa.Table:
         keys, values = rows.column("key").to_numpy(), rows.column("value").to_numpy()
@@ -175,68 +174,87 @@ def compile_model(model: DataFrame, shards: int) -> DataFrame:
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["lang", "n", "kind", "shard", "keys", "values"])
 
     rows = model.mapInPandas(number, "lang string, n int, kind string, shard long, key long, value double")
-    return rows.groupBy("lang", "n", "kind", "shard").applyInArrow(pack, "lang string, n int, kind string, shard long, keys binary, values binary")
-
-
-def _find(table, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if table is None or not len(table[0]):
-        return np.zeros(len(keys), bool), np.zeros(len(keys))
+    packed = rows.groupBy("lang", "n", "kind", "shard").applyInArrow(pack, "lang string, n int, kind string, shard long, keys binary, values binary")
+    path = common.scratch(model.sparkSession, "kn-shards")
+    packed.repartition(shards, "shard").write.partitionBy("shard").parquet(path)
+    return path, shards
+
+
+class Model:
+    """Shards of a stored model, the last HELD_SHARDS of them in memory."""
+
+    def __init__(self, path: str, shards: int):
+        self.path, self.shards, self.held = path, shards, {}
+
+    def shard(self, number: int) -> dict:
+        if number not in self.held:
+            from pyarrow import fs, parquet
+
+            system, root = fs.FileSystem.from_uri(f"{self.path}/shard={number}")
+            tables = {}
+            for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+                if f.path.endswith(".parquet"):
+                    with system.open_input_file(f.path) as opened:
+                        for r in parquet.ParquetFile(opened).read(columns=["lang", "n", "kind", "keys", "values"]).to_pylist():
+                            tables[r["lang"], r["n"], r["kind"]] = (np.frombuffer(r["keys"], "<i8"), np.frombuffer(r["values"], "<f4"))
+            while len(self.held) >= HELD_SHARDS:
+                self.held.pop(next(iter(self.held)))
+            self.held[number] = tables
+        return self.held[number]
+
+    def knows(self, lang: str) -> bool:
+        return (lang, 0, "p") in self.shard(0)  # the key of no characters at all is 0
+
+    def log_probabilities(self, points: np.ndarray, lang: str) -> np.ndarray:
+        """Of the last code point in each row of ORDER, by the longest seen n-gram and the back-offs above it."""
+        keys = {(n, "p"): hashes(points[:, ORDER - n :], n) for n in range(1, ORDER + 1)}
+        keys |= {(n, "b"): hashes(points[:, ORDER - n : -1], n - 1) for n in range(2, ORDER + 1)}
+        seen = {k: np.zeros(len(points), bool) for k in keys}
+        value = {k: np.zeros(len(points)) for k in keys}
+        for s in range(self.shards):
+            tables = self.shard(s)
+            for k, key in keys.items():
+                if (lang, *k) in tables:
+                    mine = np.flatnonzero(key % self.shards == s) if self.shards > 1 else slice(None)
+                    seen[k][mine], value[k][mine] = _find(tables[lang, *k], key[mine])
+        out = np.where(seen[1, "p"], value[1, "p"], self.shard(0)[lang, 0, "p"][1][0])
+        for n in range(2, ORDER + 1):
+            out = np.where(seen[n, "p"], value[n, "p"], out + np.where(seen[n, "b"], value[n, "b"], 0))
+        return out
+
+
+def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
     return table[0][at] == keys, table[1][at]
 
 
-def log_probabilities(points: np.ndarray, tables: dict, lang: str) -> np.ndarray:
-    """Of the last code point in each row of ORDER, by the longest seen n-gram and the back-offs above it."""
-    seen, value = _find(tables.get((lang, 1, "p")), hashes(points[:, -1:], 1))
-    out = np.where(seen, value, tables[lang, 0, "p"][1][0])
-    for n in range(2, ORDER + 1):
-        known, back = _find(tables.get((lang, n, "b")), hashes(points[:, -n:-1], n - 1))
-        seen, value = _find(tables.get((lang, n, "p")), hashes(points[:, -n:], n))
-        out = np.where(seen, value, out + np.where(known, back, 0))
-    return out
-
-
 def score(docs: DataFrame, model: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """did, tk, lang, n, log_p (null where the language has no model) for each row of docs (did, tk, lang, text); with several shards, for each different (did, tk, lang)."""
-    spark = docs.sparkSession
-    shards = max(1, -(-model.count() // model_rows))
-    compiled = common.table(compile_model(model, shards), "kn-compiled")
-    parts = []
-    for s in range(shards):
-        tables = {(r.lang, r.n, r.kind): (np.frombuffer(r.keys, "<i8"), np.frombuffer(r["values"], "<f4")) for r in compiled.where(F.col("shard").isin(s, -1)).toLocalIterator()}
-        shared = spark.sparkContext.broadcast(tables)  # at most model_rows rows and the two lowest orders
-        del tables
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, s=s) -> Iterator[pa.RecordBatch]:
-            tables = shared.value
-            for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
-                langs, texts = np.array(batch.column(2).to_pylist(), object), batch.column(3).to_pylist()
-                total, size = np.full(len(texts), np.nan), np.array([len(t) for t in texts])
-                for lang in set(langs):
-                    if (lang, 0, "p") not in tables:
-                        continue
-                    rows = np.flatnonzero(langs == lang)
-                    for at, joined, begins in _chunks([texts[i] for i in rows]):
-                        h, places = _windows(joined, begins)
-                        codes, uniques = pd.factorize(h)
-                        first = np.zeros(len(uniques), int)
-                        first[codes[::-1]] = places[::-1]
-                        points = _points(joined)[first[:, None] + np.arange(ORDER)]
-                        p = log_probabilities(points, tables, lang)
-                        if shards > 1:
-                            p = np.where(_shard_of(points[:, -3:-1], shards) == s, p, 0)
-                        n = np.diff(begins) - ORDER + 1
-                        total[rows[at]] = np.add.reduceat(p[codes], np.cumsum([0, *n[:-1]]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(size, pa.int64()), pa.array(total, pa.float64(), from_pandas=True)], ["did", "tk", "lang", "n", "log_p"])
-            common.release()
-
-        parts.append(docs.mapInArrow(run, "did long, tk long, lang string, n long, log_p double").withColumn("shard", F.lit(s)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if shards > 1:
-        out = out.dropDuplicates(["did", "tk", "lang", "shard"]).groupBy("did", "tk", "lang", "n").agg(F.sum("log_p").alias("log_p"))
-    return out.drop("shard")
+    """did, tk, lang, n, log_p (null where the language has no model) for each row of docs (did, tk, lang, text)."""
+    path, shards = store_model(model, model_rows)
+    chunk = min(MOST_CHUNK, CHUNK * max(1, shards // HELD_SHARDS))  # the more shards a block goes through, the larger it is
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stored = Model(path, shards)
+        step = max(500, chunk // 1000)
+        for batch in (b.slice(k, step) for b in batches for k in range(0, b.num_rows, step)):
+            langs, texts = np.array(batch.column(2).to_pylist(), object), batch.column(3).to_pylist()
+            total, size = np.full(len(texts), np.nan), np.array([len(t) for t in texts])
+            for lang in set(langs):
+                if not stored.knows(lang):
+                    continue
+                rows = np.flatnonzero(langs == lang)
+                for at, joined, begins in _chunks([texts[i] for i in rows], chunk):
+                    h, places = _windows(joined, begins)
+                    codes, uniques = pd.factorize(h)
+                    first = np.zeros(len(uniques), int)
+                    first[codes[::-1]] = places[::-1]
+                    p = stored.log_probabilities(_points(joined)[first[:, None] + np.arange(ORDER)], lang)
+                    n = np.diff(begins) - ORDER + 1
+                    total[rows[at]] = np.add.reduceat(p[codes], np.cumsum([0, *n[:-1]]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(size, pa.int64()), pa.array(total, pa.float64(), from_pandas=True)], ["did", "tk", "lang", "n", "log_p"])
+        common.release()
+
+    return docs.mapInArrow(run, "did long, tk long, lang string, n long, log_p double")
 
 
 def _lang() -> Column:
