@@ -383,3 +383,16 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes_of(common.read(spark, sf_dir, "documents"))
+
+
+#: All pairs of small tables: shared shingles counted per pair, then everything that links reach.
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS i, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+s AS (SELECT i, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END) AS sh FROM d),
+e AS (SELECT i, len(sh) AS n, unnest(sh) AS x FROM s),
+c AS (SELECT a.i AS u, b.i AS v, count(*) AS c, any_value(a.n) AS m, any_value(b.n) AS n FROM e a JOIN e b ON a.x = b.x AND a.i <> b.i GROUP BY a.i, b.i),
+l AS MATERIALIZED (SELECT u, v FROM c WHERE c >= 0.8 * (m + n - c) - 1e-9),
+r AS (SELECT i AS u, i AS v FROM s UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u)
+SELECT s.doc_id, min(t.doc_id) AS class_id, (SELECT count(*) FROM l WHERE l.u = s.i) AS n_links
+FROM s JOIN r ON r.u = s.i JOIN s t ON t.i = r.v GROUP BY s.i, s.doc_id
+"""

@@ -136,3 +136,23 @@ def dedup(docs: DataFrame, least: int = LEAST, counts: bool = False) -> DataFram
 
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(common.read(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+
+
+#: Every shortest window from either end, its first place, and the lines of those that stand again after it.
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+x AS (SELECT doc_id, unnest(range(0, len(ls))) AS k, unnest(ls) AS line FROM d),
+y AS (SELECT doc_id, k, line, len(regexp_extract_all(line, '[^\x09-\x0D ]+')) AS words FROM x),
+z AS (SELECT *, row_number() OVER p AS nth, sum(words) OVER p AS cum FROM y WHERE words > 0 WINDOW p AS (PARTITION BY doc_id ORDER BY k)),
+lists AS (SELECT doc_id, list(line ORDER BY k) AS lines FROM z GROUP BY doc_id),
+f AS (SELECT a.doc_id, a.nth AS lo, min(b.nth) AS hi, a.k AS first_at, min(b.k) AS last_at FROM z a JOIN z b ON a.doc_id = b.doc_id AND b.nth >= a.nth AND b.cum >= a.cum - a.words + 50 GROUP BY a.doc_id, a.nth, a.k),
+g AS (SELECT b.doc_id, max(a.nth) AS lo, b.nth AS hi, max(a.k) AS first_at, b.k AS last_at FROM z a JOIN z b ON a.doc_id = b.doc_id AND b.nth >= a.nth AND a.cum - a.words + 50 <= b.cum GROUP BY b.doc_id, b.nth, b.k),
+w AS (SELECT doc_id, first_at, last_at, array_to_string(lines[lo:hi], chr(10)) AS said FROM (SELECT * FROM f UNION SELECT * FROM g) JOIN lists USING (doc_id)),
+o AS (SELECT *, min((doc_id, first_at, last_at)) OVER (PARTITION BY said) AS src FROM w),
+gone AS (SELECT DISTINCT y.doc_id, y.k FROM o JOIN y ON y.doc_id = o.doc_id AND y.k BETWEEN o.first_at AND o.last_at
+  WHERE (o.doc_id = src[1] AND first_at > src[3]) OR o.doc_id > src[1]),
+kept AS (SELECT y.doc_id, string_agg(line, chr(10) ORDER BY k) AS text FROM y WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = y.doc_id AND gone.k = y.k) GROUP BY y.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text, coalesce(len(ls), 0) AS n_lines, coalesce(n.n, 0) AS n_removed
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

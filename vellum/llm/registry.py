@@ -18,6 +18,8 @@ QUERIES = {
 }
 ORACLE = {
     "op2_mixing": mixing.OP2_SQL,
+    "op4_jaccard": jaccard.OP4_SQL,
+    "op9_linededup": linededup.OP9_SQL,
     "op10_warc": warc.OP10_SQL,
 }
 
