@@ -129,7 +129,7 @@ def is_identity_url(url: Column) -> Column:
     return known
 
 
-OPEN_HOSTS = ["arxiv.org/pdf", "biorxiv.org", "openreview.net/pdf", "aclanthology.org", "patricegodefroid.github.io", ".github.io/"]
+OPEN_HOSTS = ["arxiv.org/pdf", "biorxiv.org", "openreview.net/pdf", "aclanthology.org", ".github.io/"]
 
 
 def contains_any(text: Column, words: list[str]) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -37,17 +38,44 @@ def shorten(text: Column, n: int) -> Column:
     return F.when(F.length(s) <= n, s).otherwise(F.concat(F.regexp_replace(F.substring(s, 1, n - 1), r"(?U)\s+$", ""), F.lit("…")))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once and not once per place it stands in."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+SPAN_BLOCK = 64
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """All matches of a pattern that never matches nothing: array of (start, end, match), offsets in code points from 0."""
-    gaps = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    total = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + F.length(x))
+    """All matches of a pattern that never matches nothing: array of (start, end, match), offsets in code points from 0.
+
+    Offsets are sums of what stands before, taken per block of matches and then within a block.
+    """
+    named = lambda **parts: F.named_struct(*[x for k, v in parts.items() for x in (F.lit(k), v)])
+    total = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: n + x)
+
+    def sized(s: Column) -> Column:
+        before, size = F.transform(s["gaps"], F.length), F.transform(s["hits"], F.length)
+        return named(hits=s["hits"], before=before, steps=F.zip_with(before, size, lambda a, b: a + F.coalesce(b, F.lit(0))))
+
+    def blocked(s: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.floor(F.size(s["hits"]) / SPAN_BLOCK).cast("int")), lambda b: total(F.slice(s["steps"], b * SPAN_BLOCK + 1, F.lit(SPAN_BLOCK))))
+        return named(hits=s["hits"], before=s["before"], steps=s["steps"], blocks=each)
+
+    def summed(s: Column) -> Column:
+        sums = F.transform(s["blocks"], lambda _, b: total(F.slice(s["blocks"], F.lit(1), b)))
+        return named(hits=s["hits"], before=s["before"], steps=s["steps"], sums=sums)
+
+    def placed(s: Column) -> Column:
+        def one(m: Column, i: Column) -> Column:
+            block = F.floor(i / SPAN_BLOCK).cast("int")
+            start = F.get(s["sums"], block) + total(F.slice(s["steps"], block * SPAN_BLOCK + 1, i - block * SPAN_BLOCK)) + F.get(s["before"], i)
+            return named(start=start, end=start + F.length(m), match=m)
 
-    def one(m: Column, i: Column) -> Column:
-        start = total(F.slice(gaps, F.lit(1), i + 1)) + total(F.slice(hits, F.lit(1), i))
-        return F.named_struct(F.lit("start"), start, F.lit("end"), start + F.length(m), F.lit("match"), m)
+        return F.transform(s["hits"], one)
 
-    return F.transform(hits, one)
+    found = named(gaps=F.split(text, pattern, -1), hits=F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    return bind(bind(bind(bind(found, sized), blocked), summed), placed)
 
 
 def group(match: Column, pattern: str, n: int) -> Column:

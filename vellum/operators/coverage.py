@@ -83,8 +83,12 @@ def link_ratio(links: DataFrame) -> DataFrame:
     return links.groupBy("paper_id").agg(F.count_if(~F.col("ok")).alias("n_bad"), F.count("*").alias("n_total"))
 
 
-def exit_code(coverage: DataFrame, blockers: DataFrame, gate: bool) -> DataFrame:
-    """4 for blockers at the gate, else 3 for a gap, else 0."""
+def exit_code(coverage: DataFrame, blockers: DataFrame, gate: bool, degraded: DataFrame | None = None) -> DataFrame:
+    """4 for blockers at the gate, else 3 for a gap or a part that could not be written (degraded: paper_id), else 0."""
     rows = coverage.join(blockers, "paper_id", "full_outer")
+    missing = F.lit(False)
+    if degraded is not None:
+        rows = rows.join(degraded.withColumn("_missing", F.lit(True)), "paper_id", "full_outer")
+        missing = F.coalesce("_missing", F.lit(False))
     blocked = F.lit(gate) & F.col("blockers").isNotNull()
-    return rows.select("paper_id", F.when(blocked, 4).when(F.coalesce("has_coverage_gap", F.lit(False)), 3).otherwise(0).alias("exit_code"))
+    return rows.select("paper_id", F.when(blocked, 4).when(F.coalesce("has_coverage_gap", F.lit(False)) | missing, 3).otherwise(0).alias("exit_code"))

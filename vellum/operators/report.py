@@ -20,7 +20,7 @@ KINDS = {
 }
 TITLES = {"coverage": "Coverage and reliability", "anonymization": "Anonymization", "submission": "Submission readiness", "assessment": "Overall assessment", "summary": "Summary", "strengths": "Strengths", "weaknesses": "Weaknesses", "reviewer2": "Reviewer 2", "citations": "Citation issues", "hygiene": "Hygiene", "checklist": "Reproducibility checklist", "numeric": "Numerical sanity", "artifacts": "Artifacts", "openreview": "OpenReview decisions", "questions": "Questions", "methodology": "Methodology"}
 LABELS = {"supports": "Supports (by its abstract only; verify)", "partially_supports": "Supports in part", "does_not_support": "Does not support", "abstract_too_thin": "Abstract too thin to tell", "target_unavailable": "Unresolved (possibly no such work)", "metadata_mismatch": "Entry and record differ", "verification_unavailable": "Could not be verified (run again)"}
-DIMENSIONS = ["novelty", "soundness", "evaluation", "clarity", "significance", "reproducibility"]
+DIMENSIONS = ["novelty", "baselines", "claims", "reproducibility", "clarity"]
 
 
 def lines(rows: DataFrame, section: str, place: list, line: Column) -> DataFrame:
@@ -144,29 +144,40 @@ def coverage_section(coverage: DataFrame) -> DataFrame:
     return heading(rows, "coverage").unionByName(lines(rows, "coverage", [0, 1], line))
 
 
-def assessment_section(papers: DataFrame, counts: DataFrame) -> DataFrame:
+def assessment_section(papers: DataFrame, counts: DataFrame, rated: DataFrame | None = None) -> DataFrame:
+    """rated: paper_id, rating_low, rating_high, rating_justification, for a rating beside the counts."""
     rows = papers.select("paper_id").join(counts, "paper_id", "left")
     n = lambda c: F.coalesce(c, F.lit(0)).cast("string")
-    return heading(papers, "assessment").unionByName(lines(rows, "assessment", [0, 1], F.concat(*[x for c in C.BUCKETS for x in (F.lit(f"- {c}: "), n(F.col(c)), F.lit("\n"))])))
+    out = heading(papers, "assessment").unionByName(lines(rows, "assessment", [0, 1], F.concat(*[x for c in C.BUCKETS for x in (F.lit(f"- {c}: "), n(F.col(c)), F.lit("\n"))])))
+    if rated is not None:
+        rows = rated.where("rating_low IS NOT NULL OR rating_high IS NOT NULL")
+        out = out.unionByName(lines(rows, "assessment", [0, 2], F.concat(rating(F.col("rating_low"), F.col("rating_high"), F.coalesce("rating_justification", F.lit(""))), F.lit("\n"))))
+    return out
 
 
 def prose_sections(prose: DataFrame) -> DataFrame:
-    """paper_id, summary, strengths, weaknesses, questions from a model; blanks are dropped, an empty list says so."""
-    out = heading(prose, "summary").unionByName(lines(prose, "summary", [0, 1], F.concat(T.strip(F.coalesce("summary", F.lit("_(none provided)_"))), F.lit("\n"))))
+    """paper_id, summary, strengths, weaknesses, questions[, error] from a model; blanks are dropped, an empty list says so. Where the call failed, only the summary's place tells of it."""
+    failed = F.col("error").isNotNull() if "error" in prose.columns else F.lit(False)
+    said = F.when(failed, "_The prose could not be written this time; the rest stands by itself. Run again for it._").otherwise(T.strip(F.coalesce("summary", F.lit("_(none provided)_"))))
+    out = heading(prose, "summary").unionByName(lines(prose, "summary", [0, 1], F.concat(said, F.lit("\n"))))
+    written = prose.where(~failed)
     for s in ("strengths", "weaknesses", "questions"):
-        out = out.unionByName(heading(prose, s)).unionByName(lines(prose, s, [0, 1], F.concat(bullets(F.col(s)), F.lit("\n"))))
+        out = out.unionByName(heading(written, s)).unionByName(lines(written, s, [0, 1], F.concat(bullets(F.col(s)), F.lit("\n"))))
     return out
 
 
 def reviewer_section(review: DataFrame, asked: DataFrame) -> DataFrame:
-    """Objections by dimension, the gravest first; a dimension without any says so."""
+    """Objections by dimension, the gravest first; a dimension without any says so. asked: paper_id[, failed]; a call that failed is told of."""
+    failed = asked.where("failed").select("paper_id").distinct() if "failed" in asked.columns else asked.limit(0).select("paper_id")
+    told = heading(failed, "reviewer2").unionByName(lines(failed, "reviewer2", [0, 1], F.lit("_The adversarial review could not be had this time; the rest stands by itself. Run again for it._\n")))
+    asked = (asked.where("NOT failed") if "failed" in asked.columns else asked).select("paper_id").distinct()
     rank = F.array_position(F.array(*[F.lit(x) for x in C.REVIEW_SEVERITIES]), F.col("severity"))
     number = F.array_position(F.array(*[F.lit(d) for d in DIMENSIONS]), F.col("dimension"))
     own = review.where(F.col("dimension").isin(DIMENSIONS))
     every = asked.select("paper_id", F.explode(F.array(*[F.lit(d) for d in DIMENSIONS])).alias("dimension"))
     empty = every.join(own, ["paper_id", "dimension"], "left_anti")
     line = F.concat(F.lit("- **"), F.col("severity"), F.lit("** — "), F.col("issue"), F.when(F.col("evidence") != "", F.concat(F.lit("\n  > "), F.col("evidence"))).otherwise(""), F.when(F.col("suggested_fix") != "", F.concat(F.lit("\n  _Fix:_ "), F.col("suggested_fix"))).otherwise(""))
-    return heading(asked, "reviewer2").unionByName(lines(every, "reviewer2", [number, -1], F.concat(F.lit("### "), F.initcap("dimension"), F.lit("\n")))).unionByName(lines(own, "reviewer2", [number, rank, F.col("n")], line)).unionByName(lines(empty, "reviewer2", [number, 0], F.lit("- _No issue found._")))
+    return told.unionByName(heading(asked, "reviewer2")).unionByName(lines(every, "reviewer2", [number, -1], F.concat(F.lit("### "), F.initcap("dimension"), F.lit("\n")))).unionByName(lines(own, "reviewer2", [number, rank, F.col("n")], line)).unionByName(lines(empty, "reviewer2", [number, 0], F.lit("- _No issue found._")))
 
 
 def artifact_section(artifacts: DataFrame) -> DataFrame:
@@ -182,10 +193,16 @@ def openreview_section(verifications: DataFrame, decisions: DataFrame) -> DataFr
     return heading(first, "openreview").unionByName(lines(first, "openreview", [0, F.col("at")], line))
 
 
-def methodology_section(coverage: DataFrame, model: str) -> DataFrame:
+def methodology_section(coverage: DataFrame, model: str, counted=None) -> DataFrame:
+    """counted: a row of lookups.counters, if sources were asked in this run."""
     n = lambda c: F.col(c).cast("string")
     line = F.concat(n("citations_checked"), F.lit(" citation site(s) checked: "), n("resolved"), F.lit(" resolved, "), n("ghost_unresolved"), F.lit(" without a record; "), n("abstract_only_count"), F.lit(" judged by less than the full text, "), n("fetched_full_text_count"), F.lit(f" by the full text. Judge: `{model}`.\n"))
-    return heading(coverage, "methodology").unionByName(lines(coverage, "methodology", [0, 1], line))
+    out = heading(coverage, "methodology").unionByName(lines(coverage, "methodology", [0, 1], line))
+    if counted is not None and (counted.recovered or counted.skipped or counted.unchecked):
+        down = f" ({', '.join(counted.broken_sources)})" if counted.broken_sources else ""
+        said = f"Look-ups of this run: {counted.recovered} answered after a retry, {counted.skipped} left out as their source was down{down}, {counted.unchecked} published version(s) not told.\n"
+        out = out.unionByName(lines(coverage, "methodology", [0, 2], F.lit(said)))
+    return out
 
 
 def title_section(papers: DataFrame) -> DataFrame:

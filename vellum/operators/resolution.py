@@ -48,11 +48,12 @@ def describe(record: Column) -> Column:
     return F.concat(F.lit('"'), record["title"], F.lit('" ('), F.coalesce(record["year"].cast("string"), F.lit("no year")), F.lit(", "), F.coalesce(T.blank_to_null(record["venue"]), record["source"]), doi, F.lit(")"))
 
 
-def resolve(refs: DataFrame, responses: DataFrame, candidates: DataFrame) -> DataFrame:
+def resolve(refs: DataFrame, responses: DataFrame, candidates: DataFrame, never_asked: str = "degraded") -> DataFrame:
     """paper_id, ref_id, status, record, match_note, near_misses.
 
     The first strong hit ends the asking, so nothing after it counts. Without one, a transient
-    failure, or never having asked, leaves the entry degraded, and a weak match is not taken over it.
+    failure leaves the entry degraded, and a weak match is not taken over it. never_asked: what an entry is
+    that has something to look up and no response at all, 'degraded' or 'unresolved'.
     """
     seen = triage(refs, candidates)
     strong = seen.where("class = 'strong'").groupBy(*KEY).agg(F.min_by("record", F.struct("step", "item_rank")).alias("strong"), F.min("step").alias("stop"))
@@ -65,7 +66,7 @@ def resolve(refs: DataFrame, responses: DataFrame, candidates: DataFrame) -> Dat
     rows = refs.select(*KEY, "year", *[c for c in ("doi", "arxiv_id", "title") if c in refs.columns]).join(strong, KEY, "left").join(failed, KEY, "left").join(weak, KEY, "left").join(near, KEY, "left")
     # an entry with something to look up that no source was asked about is not known to be absent
     can_ask = T.blank_to_null(F.coalesce(*[F.col(c) for c in ("doi", "arxiv_id", "title") if c in refs.columns])).isNotNull()
-    is_strong, is_transient, is_weak = F.col("strong").isNotNull(), F.coalesce("transient", can_ask), F.col("weak").isNotNull()
+    is_strong, is_transient, is_weak = F.col("strong").isNotNull(), F.coalesce("transient", can_ask & F.lit(never_asked == "degraded")), F.col("weak").isNotNull()
     year = lambda c: F.coalesce(c.cast("string"), F.lit("(no year)"))
     venue = F.coalesce(F.concat(F.lit(" ("), T.blank_to_null(F.col("weak.venue")), F.lit(")")), F.lit(""))
     note = F.concat(F.lit("Matched by title and surnames only: the bibliography says "), year(F.col("year")), F.lit(", the record "), year(F.col("weak.year")), venue, F.lit(". No source had a record of a fitting year; check that this is the work meant."))

@@ -111,6 +111,12 @@ def verify(citations: DataFrame, refs: DataFrame, resolutions: DataFrame, full_t
     return out
 
 
+def new_verdicts(verifications: DataFrame) -> DataFrame:
+    """verification_key, verdict, role, rationale of what was judged, for later runs; a failed call is none."""
+    rows = verifications.where("verification_key IS NOT NULL AND verdict <> 'verification_unavailable'")
+    return rows.groupBy("verification_key").agg(F.min_by(F.struct("verdict", "role", "rationale"), F.struct("paper_id", "cite_ord")).alias("x")).select("verification_key", "x.*")
+
+
 def open_access_candidates(record_url: Column, ref_url: Column, unpaywall: Column, openalex: Column) -> Column:
     """Where a full text may be, in the order to try, each once."""
     bib = F.when(F.lower(ref_url).endswith(".pdf") | M.is_open_access(ref_url), ref_url)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from vellum.operators.tex import first_seen
+
 SCHEMA = "paper_id string, tex_text string, bib_text string, checklist_text string"
 
 
@@ -15,9 +17,10 @@ def watch(spark: SparkSession, source: str, target: str, checkpoint: str, review
     """Parquet files of manuscripts that arrive in source -> review(batch) with content_hash, appended to target."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        rows = rows.dropDuplicates(["paper_id"])
         key = F.sha2(F.concat_ws("\x00", *[F.coalesce(c, F.lit("")) for c in ("tex_text", "bib_text", "checklist_text")]), 256)
-        out = review(rows).join(rows.select("paper_id", key.alias("content_hash")), "paper_id")
+        # of several versions of a paper in one batch always the same one
+        rows = first_seen(rows.withColumn("content_hash", key), ["paper_id"], ["content_hash"])
+        out = review(rows.drop("content_hash")).join(rows.select("paper_id", "content_hash"), "paper_id")
         out.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     stream = spark.readStream.schema(SCHEMA).parquet(source)
