@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,19 +34,50 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/vellum/{label}-{uuid.uuid4().hex}"
 
 
+#: Paths made under each settled() that is going on, the innermost last.
+_made: list[list[str]] = []
+
+
+def made(path: str) -> str:
+    """Tells settled() of files that it may delete when its result stands."""
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
 def table(df: DataFrame, label: str) -> DataFrame:
     """df written once to the shared folder and read back: later plans start from files, not from its lineage."""
-    path = scratch(df.sparkSession, label)
+    path = made(scratch(df.sparkSession, label))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """table(make(), label), after which every other table that make() wrote is deleted: nothing reads them any more."""
+    _made.append([])
+    spark, kept = None, None
+    try:
+        df = make()
+        spark = df.sparkSession
+        kept = table(df, label)
+        return kept
+    finally:
+        paths = _made.pop()
+        if kept is not None and _made:
+            _made[-1].append(paths[-1])
+        for path in (paths[:-1] if kept is not None else paths) if spark is not None else ():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop(df: DataFrame) -> None:
     """Deletes the files of a frame made by table() that nothing reads any more."""
-    spark = df.sparkSession
     for root in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, root)
 
 
 def release() -> None:

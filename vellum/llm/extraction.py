@@ -376,7 +376,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each page."""
     every = common.table(parsed(pages), "style-parsed")
     rows = every.where("id IS NULL")
-    turned = overruled(rows, *style_tree(rows, every.select("id", "chain")))
+    turned = common.settled("style-overruled", lambda: overruled(rows, *style_tree(rows, every.select("id", "chain"))))
     rows = common.join_small(rows.select("page_id", "url", "pk", "blocks", "texts"), turned, F.col("page_id").eqNullSafe(F.col("pid")) & (F.col("pk") == F.col("g_pk")), "left")
     other = F.coalesce("turned", F.array().cast("array<int>"))
     stays = F.transform("blocks", lambda b, i: (b["role"] > AROUND) & ((b["role"] >= PLAIN) != F.array_contains(other, i)))

@@ -243,6 +243,7 @@ def in_order(docs: DataFrame) -> DataFrame:
         limits = sorted({tuple(some[k * len(some) // wanted]) for k in range(1, wanted)} if some else ())
     number = lambda df: df.withColumn("range", _below(limits, F.col("did"), F.col("tk")))
     first = sorted(number(keys).groupBy("range").agg(F.min(F.struct("did", "tk")).alias("one")).collect())  # a row per range
+    common.drop(keys)
     looks = spark.createDataFrame([(*r.one, first[i - 1].range) for i, r in enumerate(first)], "l_did long, l_tk long, l_range int")
     rows = number(rows).join(F.broadcast(looks), (F.col("did") == F.col("l_did")) & (F.col("tk") == F.col("l_tk")), "left")
     own = F.array(F.struct(F.col("range").alias("r"), F.lit(False).alias("look")))

@@ -366,13 +366,13 @@ def _outer(docs: DataFrame, found: DataFrame, cols: list[Column]) -> DataFrame:
 
 def classes_of(docs: DataFrame, **how) -> DataFrame:
     """doc_id, class_id, n_links: a row per row of docs."""
-    out = _outer(docs, common.table(join(docs, **how), "jaccard-result"), ["doc_id"])
+    out = _outer(docs, common.settled("jaccard-result", lambda: join(docs, **how)), ["doc_id"])
     return out.select("doc_id", F.coalesce(F.when(F.col("class_id") != LAST_ID, F.col("class_id")), F.col("doc_id").cast("long")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """The documents, of each class only one: the first by id and text."""
-    found = common.table(join(docs, **how), "jaccard-result")
+    found = common.settled("jaccard-result", lambda: join(docs, **how))
     stays = found.groupBy("class_id").agg(F.min(F.struct("did", "tk")).alias("one")).select(F.col("one.did").alias("o_did"), F.col("one.tk").alias("o_tk"))
     goes = found.join(stays, (F.col("did") == F.col("o_did")) & (F.col("tk") == F.col("o_tk")), "left").select("did", "tk", F.col("o_did").isNotNull().alias("stays"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])

@@ -113,7 +113,7 @@ def repeated_runs(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 def dedup(docs: DataFrame, least: int = LEAST, counts: bool = False) -> DataFrame:
     """The documents with later repeated runs deleted; with counts, also n_lines and n_removed."""
-    runs = common.table(repeated_runs(docs, least), "lines-runs").select(F.col("did").alias("r_did"), F.col("tk").alias("r_tk"), "runs")
+    runs = common.settled("lines-runs", lambda: repeated_runs(docs, least)).select(F.col("did").alias("r_did"), F.col("tk").alias("r_tk"), "runs")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row.alias("row"), _id().alias("did"), common.text_key().alias("tk"))
     rows = common.join_small(rows, runs, (F.col("did") == F.col("r_did")) & (F.col("tk") == F.col("r_tk")), "left")

@@ -9,9 +9,11 @@ Only DataFrame functions are used. Sums per source are pre-aggregated before the
 source that holds a third of the rows is no hot key; the table of sources is broadcast after its
 rows are counted.
 
-Defined cases: a null text has size 0; a null source is a source of its own, last in order; a
-source of size 0 has target and rate 0; rows that repeat id and size share their coin; an empty
-table gives an empty result. Other columns pass through `mix` unchanged, whatever their names.
+Defined cases: a null text has size 0; a very long text is one document, taken whole or not at all, so a
+source of few such texts comes as near to its target as they allow; a null source is a source of its own,
+last in order; a source of size 0 has target and rate 0; sources whose sizes tie by weight are in order of their
+names; a null id has a coin like others; rows that repeat an id and size share their coin; an empty table
+gives an empty result. Other columns pass through `mix` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -84,7 +86,7 @@ def measure(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The documents, each as many times as the mix takes it, with their own columns and no others."""
-    chosen = plan(common.table(measure(docs), "mix-sizes"), **how)
+    chosen = common.settled("mix-chosen", lambda: plan(common.table(measure(docs), "mix-sizes"), **how))
     inner = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(inner.alias("row"), "doc_id", F.col("source").alias("d_src"), size_of().alias("size"))
     rows = common.join_small(rows, chosen, F.col("d_src").eqNullSafe(F.col("src")))

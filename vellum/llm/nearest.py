@@ -218,6 +218,10 @@ def matrices(vectors: np.ndarray) -> tuple[dict[int, np.ndarray], np.ndarray]:
 
 def search(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of largest inner product for each query (vec_id, embedding)."""
+    return common.settled("nearest-found", lambda: _search(queries, rows, k))
+
+
+def _search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     kind = "array<float>" if dict(rows.dtypes)["embedding"] == "array<float>" else "array<double>"
     rows = rows.where(usable()).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"))
     rows = common.table(rows, "nearest-rows")

@@ -175,7 +175,7 @@ def store_model(model: DataFrame, model_rows: int = MODEL_ROWS) -> tuple[str, in
 
     rows = model.mapInPandas(number, "lang string, n int, kind string, shard long, key long, value double")
     packed = rows.groupBy("lang", "n", "kind", "shard").applyInArrow(pack, "lang string, n int, kind string, shard long, keys binary, values binary")
-    path = common.scratch(model.sparkSession, "kn-shards")
+    path = common.made(common.scratch(model.sparkSession, "kn-shards"))
     packed.repartition(shards, "shard").write.partitionBy("shard").parquet(path)
     return path, shards
 
@@ -280,9 +280,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mod
     trusted = common.table(trusted, "quality-trusted")
     held = F.pmod(F.xxhash64("t_id"), F.lit(HELD_OUT)) == 0
     learn = common.join_small(docs.select("doc_id", _lang().alias("lang"), "text"), trusted.where(~held), F.col("doc_id") == F.col("t_id"))
-    model = train(learn.select("lang", "text"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("did"), common.text_key().alias("tk"), _lang().alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    scored = common.table(score(rows, model, model_rows), "quality-scores").dropDuplicates(["did", "tk", "lang"])
+    scored = common.settled("quality-scores", lambda: score(rows, train(learn.select("lang", "text")), model_rows)).dropDuplicates(["did", "tk", "lang"])
     scored = scored.withColumn("perplexity", F.when(F.col("n") > 0, F.exp(-F.col("log_p") / F.col("n"))))
     known = common.join_small(scored, trusted.where(held), F.col("did") == F.col("t_id")).where("perplexity IS NOT NULL")
     limits = thresholds(known, quantile)
@@ -293,8 +292,7 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mod
 
 def keep_good(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The documents that the classifier keeps, with their own columns."""
-    verdicts = classify(docs, labels, **how).where("NOT keep").select("did", "tk", F.col("lang").alias("v_lang"))
-    verdicts = common.table(verdicts, "quality-rejected")
+    verdicts = common.settled("quality-rejected", lambda: classify(docs, labels, **how).where("NOT keep").select("did", "tk", F.col("lang").alias("v_lang")))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("r_did"), common.text_key().alias("r_tk"), _lang().alias("r_lang"))
     on = (F.col("r_did") == F.col("did")) & (F.col("r_tk") == F.col("tk")) & (F.col("r_lang") == F.col("v_lang"))
