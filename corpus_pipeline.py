@@ -44,13 +44,17 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL can express neither the language model nor the forest; the stages are tested against brute force.
+#: SQL can express neither the language model nor the packing; each stage is tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage's result is written to the shared folder and read again as the next one's input."""
     docs = common.read(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = common.table(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        docs = common.settled("stage-" + name.replace(" ", "-"), lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if before is not None:
+            common.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -126,8 +126,26 @@ def published_version(rows: DataFrame) -> DataFrame:
     return rows.withColumn("unchecked_now", ask & ~F.col("published_version_checked") & transient)
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame, threshold: float = M.TITLE_JACCARD) -> DataFrame:
-    """l_id, r_id of titles that match, for a corpus of our own: (id, title) on both sides, joined on rare words.
+def token_set(title: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.split(M.norm_title(title), " ")))
+
+
+def title_classes(titles: DataFrame) -> DataFrame:
+    """id, title -> class_id, id: titles with one set of tokens, by the least id; those without tokens are left out."""
+    rows = titles.select("id", token_set(F.col("title")).alias("w")).where("w <> array('')")
+    first = rows.groupBy("w").agg(F.min("id").alias("class_id"))
+    return rows.join(first, "w").select("class_id", "id")
+
+
+def linked_titles(titles: DataFrame, threshold: float = M.TITLE_JACCARD) -> DataFrame:
+    """id, title -> l_id, r_id of classes that match, each pair once; copies are told by title_classes and never paired."""
+    rows = titles.select("id", token_set(F.col("title")).alias("w")).where("w <> array('')")
+    reps = rows.groupBy("w").agg(F.min("id").alias("id")).select("id", F.array_join("w", " ").alias("title"))
+    return fuzzy_pairs(reps, reps, threshold, F.col("l_id") < F.col("r_id"))
+
+
+def fuzzy_pairs(left: DataFrame, right: DataFrame, threshold: float = M.TITLE_JACCARD, only: Column | None = None) -> DataFrame:
+    """l_id, r_id of titles that match, for a corpus of our own: (id, title) on both sides, joined on rare words. only: which pairs of l_id and r_id are asked for.
 
     Two token sets with a Jaccard of at least t share one of the rarest |a| - ceil(t |a|) + 1 tokens of
     either, so prefixes in the order of rarity lose nothing. The place of that token bounds what the
@@ -148,7 +166,7 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, threshold: float = M.TITLE_JA
     most = 1 + F.least(F.col("l_n") - F.col("l_k"), F.col("r_n") - F.col("r_k"))
     needed = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("l_n") + F.col("r_n")) - 1e-9)
     near = (F.col("l_n") >= F.lit(threshold) * F.col("r_n") - 1e-9) & (F.col("r_n") >= F.lit(threshold) * F.col("l_n") - 1e-9)
-    pairs = prefix(a, "l").join(prefix(b, "r"), "t").where(near & (most >= needed)).groupBy("l_id", "r_id").agg(F.min("t"))
+    pairs = prefix(a, "l").join(prefix(b, "r"), "t").where(near & (most >= needed) & (F.lit(True) if only is None else only)).groupBy("l_id", "r_id").agg(F.min("t"))
     pairs = pairs.join(a.select(F.col("id").alias("l_id"), F.col("w").alias("x")), "l_id").join(b.select(F.col("id").alias("r_id"), F.col("w").alias("y")), "r_id")
     common = F.size(F.array_intersect("x", "y"))
     return pairs.where(common >= F.lit(threshold) * (F.size("x") + F.size("y") - common) - 1e-9).select("l_id", "r_id")

@@ -66,13 +66,16 @@ def abstract(ruled: DataFrame, strict: bool = True) -> DataFrame:
     return finding(rows, FAMILY, "placeholder_abstract", [2], severity=F.lit("blocker"), detail=F.col("why"), evidence=F.when(~empty, F.substring(T.strip(F.col("abstract")), 1, 200)))
 
 
+def numbers_of(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
+
+
 def changed(old: Column, new: Column) -> Column:
     """Other numbers, or more than a fifth of the words."""
-    numbers = lambda c: F.regexp_extract_all(c, F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
     tokens = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\w+"), F.lit(0)))
     a, b = tokens(old), tokens(new)
     both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return (numbers(old) != numbers(new)) | ((either > 0) & (1 - both / F.greatest(either, F.lit(1)) > CHANGED))
+    return (numbers_of(old) != numbers_of(new)) | ((either > 0) & (1 - both / F.greatest(either, F.lit(1)) > CHANGED))
 
 
 def changed_abstract(papers: DataFrame, baseline: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import match as M
 from vellum.functions import text as T
-from vellum.operators import anonymity, checklist, coverage, findings, numbers, pages, report, resolution, submission, tex, verification
+from vellum.operators import anonymity, checklist, coverage, findings, judging, lookups, numbers, pages, report, resolution, submission, tex, verification
 from vellum.sources import payloads, tables
 
 from . import engine, sources
@@ -63,6 +63,23 @@ SEVERITY = "CASE {0} " + " ".join(f"WHEN '{v}' THEN {n}" for v, n in coverage.SE
 PROBLEM = "({0}verdict IN ('does_not_support', 'partially_supports', 'target_unavailable', 'metadata_mismatch') OR (({0}verdict = 'abstract_too_thin' OR ({0}verdict = 'supports' AND {0}abstract_only)) AND {0}role IS DISTINCT FROM 'method_attribution'))"
 ANONYMOUS = "(trim(coalesce({0}, '')) = '' OR regexp_matches(lower({0}), '" + "|".join(anonymity.ANONYMOUS) + "'))"
 
+DECIDED = f"""WITH t AS (SELECT c.*, r.year AS r_year, CASE mode WHEN 'id' THEN 0 ELSE 4 END + list_position(['crossref', 'semanticscholar', 'arxiv', 'openalex'], source) - 1 AS step,
+      CASE WHEN mode = 'id' THEN 'strong' WHEN NOT {LIKE.format("r.title", "c.title")} THEN NULL WHEN coalesce(abs(r.year - c.year) <= 2, true) THEN 'strong'
+       WHEN coalesce(list_has_any({SURNAMES.format("r.authors")}, {SURNAMES.format("c.authors")}), false) THEN 'weak' ELSE 'near_miss' END AS class
+      FROM {{cands}} c JOIN {{refs}} r ON c.paper_id = r.paper_id AND c.ref_id = r.ref_id),
+    s AS (SELECT paper_id, ref_id, min(step) AS stop, arg_min({{{{'source': source, 'year': year, 'authors': authors}}}}, step * 100 + item_rank) AS rec FROM t WHERE class = 'strong' GROUP BY ALL),
+    f AS (SELECT p.paper_id, p.ref_id, bool_or(tag = 'transient') AS transient FROM {{resps}} p LEFT JOIN s ON s.paper_id = p.paper_id AND s.ref_id = p.ref_id
+      WHERE stop IS NULL OR CASE mode WHEN 'id' THEN 0 ELSE 4 END + list_position(['crossref', 'semanticscholar', 'arxiv', 'openalex'], source) - 1 < stop GROUP BY ALL),
+    w AS (SELECT paper_id, ref_id, arg_min({{{{'source': source, 'year': year, 'authors': authors}}}}, coalesce(abs(year - r_year), 10000) * 10000 + step * 100 + item_rank) AS rec FROM t WHERE class = 'weak' GROUP BY ALL),
+    n AS (SELECT paper_id, ref_id, count(*) AS n FROM t WHERE class = 'near_miss' GROUP BY ALL),
+    decided AS (SELECT r.paper_id, r.ref_id, CASE WHEN s.rec IS NOT NULL THEN 'resolved' WHEN coalesce(transient, false) THEN 'degraded' WHEN w.rec IS NOT NULL THEN 'resolved' ELSE 'unresolved' END AS status,
+     CASE WHEN s.rec IS NOT NULL THEN s.rec.source WHEN NOT coalesce(transient, false) THEN w.rec.source END AS source, CASE WHEN s.rec IS NOT NULL THEN s.rec.authors WHEN NOT coalesce(transient, false) THEN w.rec.authors END AS authors, CASE WHEN s.rec IS NOT NULL THEN s.rec.year WHEN NOT coalesce(transient, false) THEN w.rec.year END AS year,
+     s.rec IS NULL AND NOT coalesce(transient, false) AND w.rec IS NOT NULL AS is_weak,
+     CAST(CASE WHEN s.rec IS NOT NULL OR (NOT coalesce(transient, false) AND w.rec IS NOT NULL) THEN 0 ELSE coalesce(n.n, 0) END AS INTEGER) AS n_near
+    FROM {{refs}} r LEFT JOIN s ON s.paper_id = r.paper_id AND s.ref_id = r.ref_id LEFT JOIN f ON f.paper_id = r.paper_id AND f.ref_id = r.ref_id
+     LEFT JOIN w ON w.paper_id = r.paper_id AND w.ref_id = r.ref_id LEFT JOIN n ON n.paper_id = r.paper_id AND n.ref_id = r.ref_id)"""
+TOKEN_SETS = f"SELECT doc_id, list_sort(list_distinct(string_split({NORM.format('text')}, ' '))) AS w FROM documents WHERE {NORM.format('text')} <> ''"
+
 
 # ---- joins between citations, entries and records ----
 
@@ -78,11 +95,6 @@ def refs_unused_and_ghost(spark, sf):
     return kind(tex.unused_keys(refs, cites), "unused").unionByName(kind(tex.ghosts(cites, refs), "ghost"))
 
 
-@query("SELECT c.paper_id, cite_ord, c.ref_id, sentence, r.title, r.year FROM cites c JOIN refs r ON c.paper_id = r.paper_id AND c.ref_id = r.ref_id", (X.REFS, X.CITATIONS))
-def citations_with_refs(spark, sf):
-    return X.CITATIONS.df(spark).join(X.REFS.df(spark), ["paper_id", "ref_id"]).select("paper_id", "cite_ord", "ref_id", "sentence", "title", "year")
-
-
 @query(
     f"""SELECT paper_id, ref_id, {DOI.format("doi")} AS doi, coalesce({ARXIV.format("arxiv_id")}, CASE WHEN starts_with({DOI.format("doi")}, '10.48550/arxiv.') THEN {ARXIV.format(f"substr({DOI.format('doi')}, 16)")} END, {ARXIV.format("url")},
      {ARXIV.format("nullif(regexp_extract(raw_text, '(?:arxiv\\.org/(?:abs|pdf)/|arxiv\\s*[:\\s]\\s*|arxiv\\.)(\\d{4}\\.\\d{4,5}|[a-z\\-]+(?:\\.[A-Z]{2})?/\\d{7})', 1, 'i'), '')")}) AS arxiv FROM refs""",
@@ -105,39 +117,48 @@ def match_predicates(spark, sf):
     return X.CANDIDATES.df(spark).join(r, ["paper_id", "ref_id"]).select("paper_id", "ref_id", "mode", "source", M.title_like(c("t"), c("title")).alias("title_ok"), M.year_compatible(c("y"), c("year")).alias("year_ok"), M.surnames_overlap(c("a"), c("authors")).alias("authors_ok"))
 
 
-@query(
-    f"""WITH t AS (SELECT c.*, r.year AS r_year, CASE mode WHEN 'id' THEN 0 ELSE 4 END + list_position(['crossref', 'semanticscholar', 'arxiv', 'openalex'], source) - 1 AS step,
-      CASE WHEN mode = 'id' THEN 'strong' WHEN NOT {LIKE.format("r.title", "c.title")} THEN NULL WHEN coalesce(abs(r.year - c.year) <= 2, true) THEN 'strong'
-       WHEN coalesce(list_has_any({SURNAMES.format("r.authors")}, {SURNAMES.format("c.authors")}), false) THEN 'weak' ELSE 'near_miss' END AS class
-      FROM cands c JOIN refs r ON c.paper_id = r.paper_id AND c.ref_id = r.ref_id),
-    s AS (SELECT paper_id, ref_id, min(step) AS stop, arg_min({{'source': source, 'year': year}}, step * 100 + item_rank) AS rec FROM t WHERE class = 'strong' GROUP BY ALL),
-    f AS (SELECT p.paper_id, p.ref_id, bool_or(tag = 'transient') AS transient FROM resps p LEFT JOIN s ON s.paper_id = p.paper_id AND s.ref_id = p.ref_id
-      WHERE stop IS NULL OR CASE mode WHEN 'id' THEN 0 ELSE 4 END + list_position(['crossref', 'semanticscholar', 'arxiv', 'openalex'], source) - 1 < stop GROUP BY ALL),
-    w AS (SELECT paper_id, ref_id, arg_min({{'source': source, 'year': year}}, coalesce(abs(year - r_year), 10000) * 10000 + step * 100 + item_rank) AS rec FROM t WHERE class = 'weak' GROUP BY ALL),
-    n AS (SELECT paper_id, ref_id, count(*) AS n FROM t WHERE class = 'near_miss' GROUP BY ALL)
-    SELECT r.paper_id, r.ref_id, CASE WHEN s.rec IS NOT NULL THEN 'resolved' WHEN coalesce(transient, false) THEN 'degraded' WHEN w.rec IS NOT NULL THEN 'resolved' ELSE 'unresolved' END AS status,
-     CASE WHEN s.rec IS NOT NULL THEN s.rec.source WHEN NOT coalesce(transient, false) THEN w.rec.source END AS source, CASE WHEN s.rec IS NOT NULL THEN s.rec.year WHEN NOT coalesce(transient, false) THEN w.rec.year END AS year,
-     s.rec IS NULL AND NOT coalesce(transient, false) AND w.rec IS NOT NULL AS is_weak,
-     CAST(CASE WHEN s.rec IS NOT NULL OR (NOT coalesce(transient, false) AND w.rec IS NOT NULL) THEN 0 ELSE coalesce(n.n, 0) END AS INTEGER) AS n_near
-    FROM refs r LEFT JOIN s ON s.paper_id = r.paper_id AND s.ref_id = r.ref_id LEFT JOIN f ON f.paper_id = r.paper_id AND f.ref_id = r.ref_id
-     LEFT JOIN w ON w.paper_id = r.paper_id AND w.ref_id = r.ref_id LEFT JOIN n ON n.paper_id = r.paper_id AND n.ref_id = r.ref_id""",
-    (X.REFS, X.CANDIDATES, X.RESPONSES),
-)
+@query(f"""{DECIDED.format(refs="refs", cands="cands", resps="resps")} SELECT * EXCLUDE authors FROM decided""", (X.REFS, X.CANDIDATES, X.RESPONSES))
 def resolution_decisions(spark, sf):
     out = resolution.resolve(X.REFS.df(spark), X.RESPONSES.df(spark), X.CANDIDATES.df(spark))
     return out.select("paper_id", "ref_id", "status", F.col("record.source").alias("source"), F.col("record.year").alias("year"), F.col("match_note").isNotNull().alias("is_weak"), F.size("near_misses").alias("n_near"))
 
 
-@query()
+@query(
+    f"""{DECIDED.format(refs="refs", cands="cands", resps="resps")}
+    SELECT c.paper_id, c.cite_ord, c.ref_id, CASE WHEN v.status = 'degraded' THEN 'verification_unavailable' WHEN v.source IS NULL THEN 'target_unavailable'
+      WHEN len({SURNAMES.format("r.authors")}) > 0 AND len({SURNAMES.format("v.authors")}) > 0 AND NOT list_has_any({SURNAMES.format("r.authors")}, {SURNAMES.format("v.authors")}) THEN 'metadata_mismatch' END AS verdict
+    FROM cites c JOIN refs r ON c.paper_id = r.paper_id AND c.ref_id = r.ref_id JOIN decided v ON v.paper_id = c.paper_id AND v.ref_id = c.ref_id""",
+    (X.REFS, X.CANDIDATES, X.RESPONSES, X.CITATIONS),
+)
+def citations_short_circuited(spark, sf):
+    refs = X.REFS.df(spark)
+    resolved = resolution.resolve(refs, X.RESPONSES.df(spark), X.CANDIDATES.df(spark), never_asked="unresolved")
+    return verification.short_circuit(X.CITATIONS.df(spark), refs, resolved).select("paper_id", "cite_ord", "ref_id", "verdict")
+
+
+@query(f"SELECT min(doc_id) OVER (PARTITION BY w) AS class_id, doc_id FROM ({TOKEN_SETS})")
+def title_classes(spark, sf):
+    """Texts with one set of tokens, each by its class's least id."""
+    return resolution.title_classes(read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"))).select("class_id", F.col("id").alias("doc_id"))
+
+
+@query(
+    f"""WITH r AS (SELECT min(doc_id) AS id, w FROM ({TOKEN_SETS}) GROUP BY w), t AS (SELECT id, len(w) AS n, unnest(w) AS t FROM r),
+    p AS (SELECT a.id AS l_id, b.id AS r_id, count(*) AS c, any_value(a.n) AS m, any_value(b.n) AS n FROM t a JOIN t b ON a.t = b.t AND a.id < b.id GROUP BY ALL)
+    SELECT l_id, r_id FROM p WHERE c >= 0.7 * (m + n - c) - 1e-9"""
+)
 def title_linkage(spark, sf):
-    """Texts whose token sets are alike, by joining on rare tokens; tested against brute force."""
+    """Classes of texts whose token sets are alike, by joining on rare tokens: pairs of their least ids."""
     docs = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"))
-    return resolution.fuzzy_pairs(docs, docs).where("l_id < r_id")
+    return resolution.linked_titles(docs)
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT doc_id FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id)")
 def keys_never_used(spark, sf):
-    return read(spark, sf, "customer").join(read(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Documents as entries, labels as citations: entries that nothing cites."""
+    refs = read(spark, sf, "documents").select(F.lit("all").alias("paper_id"), F.col("doc_id").alias("ref_id"), F.lit(False).alias("is_synthetic"))
+    cites = read(spark, sf, "labels").select(F.lit("all").alias("paper_id"), F.col("doc_id").alias("ref_id"))
+    return tex.unused_keys(refs, cites).select(F.col("ref_id").alias("doc_id"))
 
 
 # ---- URLs, artifacts, probes ----
@@ -182,9 +203,9 @@ def artifact_health(spark, sf):
     return tables.artifact_outcomes(X.ARTIFACT_PROBES.df(spark)).select("artifact_kind", "status_code", "parseable", "status")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 600 IN (429, 500, 502, 503, 504) THEN 'retry' ELSE 'terminal' END AS outcome FROM lineitem WHERE l_linenumber = 1")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 600 IN (429, 500, 502, 503, 504) THEN 'retry' ELSE 'terminal' END AS outcome FROM lineitem")
 def http_outcomes(spark, sf):
-    return read(spark, sf, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", M.http_outcome(F.col("l_partkey") % 600).alias("outcome"))
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", M.http_outcome(F.col("l_partkey") % 600).alias("outcome"))
 
 
 @query(
@@ -208,24 +229,22 @@ SLUG = "substr(trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-'), 1,
 
 @query(
     f"""SELECT doc_id, 'ta-' || {SLUG.format("CASE WHEN t = '' THEN 'untitled' ELSE t END")} || '-' || substr(sha1(t || '|' || source), 1, 16) AS cache_key, 'v-' || substr(sha1('m' || chr(0) || CAST(doc_id AS VARCHAR) || chr(0) || t || chr(0) || 'x'), 1, 24) AS verification_key
-    FROM (SELECT doc_id, source, substr(text, 1, 60) AS t FROM documents)"""
+    FROM (SELECT doc_id, source, text AS t FROM documents)"""
 )
 def document_keys(spark, sf):
-    rows = read(spark, sf, "documents").select("doc_id", "source", F.substring("text", 1, 60).alias("t"))
+    rows = read(spark, sf, "documents").select("doc_id", "source", F.col("text").alias("t"))
     return rows.select("doc_id", M.cache_key(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("t"), F.col("source")).alias("cache_key"), M.verification_key(F.lit("m"), F.col("doc_id").cast("string"), F.col("t"), F.lit("x")).alias("verification_key"))
 
 
-@query("SELECT doc_id, array_to_string(regexp_extract_all(text, '\\d+(?:\\.\\d+)?'), ' ') AS numbers, CAST(len(regexp_extract_all(text, '\\d+(?:\\.\\d+)?\\s*%')) AS INTEGER) AS n_percent FROM documents WHERE regexp_matches(text, '\\d')")
+@query("SELECT doc_id, array_to_string(regexp_extract_all(text, '\\d+(?:\\.\\d+)?'), ' ') AS numbers FROM documents WHERE regexp_matches(text, '\\d')")
 def numbers_in_documents(spark, sf):
-    rows = read(spark, sf, "documents").where(F.col("text").rlike(r"\d"))
-    return rows.select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit(r"\d+(?:\.\d+)?"), F.lit(0)), " ").alias("numbers"), F.size(F.regexp_extract_all("text", F.lit(r"\d+(?:\.\d+)?\s*%"), F.lit(0))).alias("n_percent"))
+    return read(spark, sf, "documents").where(F.col("text").rlike(r"\d")).select("doc_id", F.array_join(submission.numbers_of(F.col("text")), " ").alias("numbers"))
 
 
-@query(f"SELECT doc_id, {SQUEEZE.format('text')} AS flat, {NORM.format('text')} AS norm, CASE WHEN length(text) > 2000 THEN substr(text, 1, 1200) || right(text, 600) ELSE text END AS head_tail FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, {SQUEEZE.format('text')} AS flat, {NORM.format('text')} AS norm, CASE WHEN length(text) > 2000 THEN substr(text, 1, 1200) || chr(10) || chr(10) || '[... middle left out ...]' || chr(10) || chr(10) || right(text, 600) ELSE text END AS head_tail FROM documents")
 def texts_flattened(spark, sf):
     t = F.col("text")
-    cut = F.when(F.length(t) > 2000, F.concat(F.substring(t, 1, 1200), F.right(t, F.lit(600)))).otherwise(t)
-    return read(spark, sf, "documents").where("lang = 'en'").select("doc_id", T.squeeze(t).alias("flat"), M.norm_title(t).alias("norm"), cut.alias("head_tail"))
+    return read(spark, sf, "documents").select("doc_id", T.squeeze(t).alias("flat"), M.norm_title(t).alias("norm"), judging.head_and_tail(t, 2000, 1200, 600).alias("head_tail"))
 
 
 @query(f"SELECT doc_id, {ANONYMOUS.format('text')} AS anonymous, regexp_matches(lower(text), 'imagenet|cifar|mnist|coco|squad|glue|wikitext|librispeech|penn treebank|ptb|wmt|conll|snli|mnli|celeba|svhn') AS dataset, coalesce(list_filter(['lorem', 'moron', 'license'], lambda m: contains(lower(text), m))[1], '') AS marker FROM documents")
@@ -252,13 +271,13 @@ def sentences_around_license(spark, sf):
 
 
 @query(
-    """WITH d AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents)
-    SELECT source, doc_id, k AS rank, greatest(n - 30, 0) AS left_out FROM d WHERE k <= 30"""
+    """WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents)
+    SELECT source, string_agg('- ' || CAST(doc_id AS VARCHAR), chr(10) ORDER BY k) || CASE WHEN any_value(n) > 30 THEN chr(10) || '- ... and ' || CAST(any_value(n) - 30 AS VARCHAR) || ' more' ELSE '' END AS said FROM d WHERE k <= 30 GROUP BY source"""
 )
 def longest_of_each_source(spark, sf):
-    w = Window.partitionBy("source")
-    rows = read(spark, sf, "documents").select("source", "doc_id", F.row_number().over(w.orderBy(F.desc("n_chars"), "doc_id")).cast("long").alias("rank"), F.count("*").over(w).alias("n"))
-    return rows.where("rank <= 30").select("source", "doc_id", "rank", F.greatest(F.col("n") - 30, F.lit(0)).cast("long").alias("left_out"))
+    """The first lines of a list and how many more there are, as prompts get them."""
+    rows = read(spark, sf, "documents").select(F.col("source").alias("paper_id"), "doc_id", "n_chars")
+    return judging.first_lines(rows, F.concat(F.lit("- "), F.col("doc_id").cast("string")), [F.desc("n_chars"), "doc_id"], judging.FLAGS, "-").withColumnRenamed("paper_id", "source")
 
 
 # ---- verdicts, coverage, report ----
@@ -284,21 +303,30 @@ def citation_groups(spark, sf):
     return g.withColumn("sites", F.array_join(F.transform("sites", lambda s: s["sentence"]), "|"))
 
 
+EVENT_VERDICTS = "SELECT CAST(user_id AS VARCHAR) AS paper_id, CAST(event_id % 5 AS VARCHAR) AS ref_id, event_id AS cite_ord, CASE event_type WHEN 'error' THEN 'does_not_support' WHEN 'purchase' THEN 'metadata_mismatch' WHEN 'signup' THEN 'abstract_too_thin' ELSE 'supports' END AS verdict, CAST(NULL AS VARCHAR) AS role, event_id % 2 = 0 AS abstract_only FROM events"
+
+
 @query(
-    """WITH e AS (SELECT user_id, event_type, ts, event_id, CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END AS sev FROM events)
-    SELECT user_id, arg_min(event_type, (sev, ts, event_id)) AS headline, count(*) AS n, count(*) FILTER (sev = 0) AS n_worst FROM e GROUP BY user_id"""
+    f"""WITH v AS ({EVENT_VERDICTS}), g AS (SELECT paper_id, ref_id, arg_min(verdict, CAST({SEVERITY.format("verdict")} AS BIGINT) * 1000000000 + cite_ord) AS headline, bool_or(verdict IN ('metadata_mismatch', 'target_unavailable')) AS entry_level, count(*) AS n_sites FROM v WHERE {PROBLEM.format("")} GROUP BY ALL)
+    SELECT *, CAST(row_number() OVER (PARTITION BY paper_id ORDER BY {SEVERITY.format("headline")}, ref_id) AS INTEGER) AS rank FROM g"""
 )
-def headline_event_per_user(spark, sf):
-    e = read(spark, sf, "events").withColumn("sev", F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "purchase", 1).otherwise(2))
-    return e.groupBy("user_id").agg(F.min_by("event_type", F.struct("sev", "ts", "event_id")).alias("headline"), F.count("*").alias("n"), F.count_if(F.col("sev") == 0).alias("n_worst"))
+def event_groups(spark, sf):
+    """The grouping of flagged citations over a whole table: events as sites, users as papers."""
+    kind = F.when(F.col("event_type") == "error", "does_not_support").when(F.col("event_type") == "purchase", "metadata_mismatch").when(F.col("event_type") == "signup", "abstract_too_thin").otherwise("supports")
+    none = F.lit(None).cast("string")
+    rows = read(spark, sf, "events").select(F.col("user_id").cast("string").alias("paper_id"), (F.col("event_id") % 5).cast("string").alias("ref_id"), F.col("event_id").alias("cite_ord"), kind.alias("verdict"), none.alias("role"), (F.col("event_id") % 2 == 0).alias("abstract_only"), none.alias("rationale"), none.alias("sentence"))
+    return coverage.groups(rows).drop("sites")
 
 
-@query("SELECT d.source, count(*) AS n, count(*) FILTER (quality = 1 AND toxic = 0) AS clean, count(*) FILTER (quality = 0) AS junk, count(*) FILTER (quality = 1 AND toxic = 1) AS toxic_only FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source")
-def label_classes(spark, sf):
-    """First class that applies, counted in one pass."""
-    kind = F.when(F.col("quality") == 0, "junk").when(F.col("toxic") == 1, "toxic_only").otherwise("clean")
-    rows = read(spark, sf, "documents").select("doc_id", "source").join(read(spark, sf, "labels"), "doc_id").withColumn("k", kind)
-    return rows.groupBy("source").agg(F.count("*").alias("n"), *[F.count_if(F.col("k") == k).alias(k) for k in ("clean", "junk", "toxic_only")])
+@query(
+    """SELECT source AS paper_id, count(*) AS citations_checked, count(*) FILTER (quality = 1 AND toxic = 0) AS resolved, count(*) FILTER (quality = 1 AND toxic = 1) AS ghost_unresolved, count(*) FILTER (quality = 0) AS resolution_degraded, 0::BIGINT AS verification_degraded,
+    count(*) FILTER (lang = 'en') AS abstract_only_count, count(*) FILTER (lang <> 'en' AND toxic = 0) AS fetched_full_text_count, count(*) FILTER (quality = 0) > 0 AS has_coverage_gap FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY source"""
+)
+def label_coverage(spark, sf):
+    """The partition of outcomes over whole tables: labels as verdicts, sources as papers."""
+    status, verdict = F.when(F.col("quality") == 0, "degraded").otherwise("resolved"), F.when(F.col("toxic") == 1, "target_unavailable").otherwise("supports")
+    rows = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id")
+    return coverage.coverage(rows.select(F.col("source").alias("paper_id"), status.alias("status"), verdict.alias("verdict"), (F.col("lang") == "en").alias("abstract_only")))
 
 
 @query(
@@ -405,6 +433,13 @@ def page_tables(spark, sf):
     return findings.union([row(papers, "paper", "title", "references_start_page"), row(pages.numeric_citations(papers, sources.numbered_refs(spark)), "numeric", "ref_id", "sentence"), row(pages.author_year_citations(papers, refs), "author_year", "ref_id", "sentence")])
 
 
+@query(sources.RESOLVED_SQL)
+def references_resolved(spark, sf):
+    """From entries to decisions over recorded answers of the sources: look-ups, payloads, candidates, retractions, published versions."""
+    out = lookups.resolve_all(sources.recorded_refs(spark), lookups.recorded(sources.recorded_answers(spark)))["resolutions"]
+    return out.select("paper_id", "ref_id", "status", "record.source", "record.doi", F.col("match_note").isNotNull().alias("is_weak"), "is_retracted", F.col("published_version.venue").alias("published_in"), F.size("near_misses").alias("n_near"))
+
+
 @query()
 def payload_records(spark, sf):
     """Source answers to records: nested JSON and Atom, tested on one of each."""
