@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vellum.functions import match as M
 from vellum.operators import judging, lookups, verification
 from vellum.plans import engine, sources
-from vellum.sources import pdf, probing
+from vellum.sources import pdf, probing, tables
 
 from .test_lookups import ANSWER, answers, crossref
 
@@ -53,6 +53,29 @@ def test_every_section_is_stitched(run):
     assert "## Anonymization" not in reviews["g"]  # a check that needs the source
 
 
+def test_cited_works_are_fetched_read_and_kept(spark, run):
+    raw = small_pdf(b"BT (Full text of the widgets) Tj ET")
+
+    def send(method, url, timeout):
+        return (200, "application/pdf", raw) if url == "http://u" else (404, "", b"")
+
+    rows = [("unpaywall", "open_access", "10.1/s", "ok", '{"best_oa_location": {"url_for_pdf": "http://u"}}')]
+    inputs = engine.Inputs(ask=lookups.recorded(spark.createDataFrame(rows, ANSWER)), send=send, email="a@b.c")
+    texts, new, skipped = engine.cited_texts(run["refs"], run["resolutions"], inputs)
+    assert [(r.paper_id, r.ref_id, r.full_text) for r in texts.collect()] == [("g", "1", "Full text of the widgets")] and skipped == 0
+    again = engine.Inputs(ask=inputs.ask, send=lambda *a: (404, "", b""), pdfs=new)
+    texts, new, skipped = engine.cited_texts(run["refs"], run["resolutions"], again)
+    assert texts.count() == 1 and new.count() == 0 and skipped == 2  # from the files kept; no e-mail to ask with
+
+
+def test_stores_keep_the_latest_row_of_a_key(spark, tmp_path):
+    path = str(tmp_path / "store")
+    assert tables.read_store(spark, path, "k") is None
+    for rows in ([("a", 1), ("b", 2)], [("a", 3)]):
+        tables.append_store(spark.createDataFrame(rows, "k string, v int"), path)
+    assert sorted(map(tuple, tables.read_store(spark, path, "k").collect())) == [("a", 3), ("b", 2)]
+
+
 def test_a_model_that_fails_costs_its_parts_only(spark):
     def broken(prompt, temperature):
         raise RuntimeError("down")

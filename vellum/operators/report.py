@@ -193,8 +193,8 @@ def openreview_section(verifications: DataFrame, decisions: DataFrame) -> DataFr
     return heading(first, "openreview").unionByName(lines(first, "openreview", [0, F.col("at")], line))
 
 
-def methodology_section(coverage: DataFrame, model: str, counted=None) -> DataFrame:
-    """counted: a row of lookups.counters, if sources were asked in this run."""
+def methodology_section(coverage: DataFrame, model: str, counted=None, skipped: int = 0) -> DataFrame:
+    """counted: a row of lookups.counters, if sources were asked in this run; skipped: look-ups of open copies for which there was no e-mail."""
     n = lambda c: F.col(c).cast("string")
     line = F.concat(n("citations_checked"), F.lit(" citation site(s) checked: "), n("resolved"), F.lit(" resolved, "), n("ghost_unresolved"), F.lit(" without a record; "), n("abstract_only_count"), F.lit(" judged by less than the full text, "), n("fetched_full_text_count"), F.lit(f" by the full text. Judge: `{model}`.\n"))
     out = heading(coverage, "methodology").unionByName(lines(coverage, "methodology", [0, 1], line))
@@ -202,6 +202,8 @@ def methodology_section(coverage: DataFrame, model: str, counted=None) -> DataFr
         down = f" ({', '.join(counted.broken_sources)})" if counted.broken_sources else ""
         said = f"Look-ups of this run: {counted.recovered} answered after a retry, {counted.skipped} left out as their source was down{down}, {counted.unchecked} published version(s) not told.\n"
         out = out.unionByName(lines(coverage, "methodology", [0, 2], F.lit(said)))
+    if skipped:
+        out = out.unionByName(lines(coverage, "methodology", [0, 3], F.lit(f"{skipped} look-up(s) of open copies were left out for want of an e-mail address.\n")))
     return out
 
 

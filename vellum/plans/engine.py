@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.operators import anonymity, checklist, coverage, findings, judging, lookups, numbers, pages, report, resolution, submission, tex, verification
-from vellum.sources import tables
+from vellum.functions import match as M
+from vellum.sources import pdf, probing, tables
 from vellum.sources.scratch import stored
 
 EMPTY = {
@@ -47,6 +48,11 @@ class Inputs:
     #: A model that writes prose and objections, and reads bibliographies of page texts.
     writer: judging.Model | None = None
     show_rating: bool = False
+    #: Sends probes of links and artifacts, and fetches cited works; extract reads their PDF files, of which pdfs (cache_key, body) were fetched before.
+    send: probing.Send | None = None
+    extract: pdf.Extract = pdf.page_texts
+    email: str | None = None
+    pdfs: DataFrame | None = None
 
     def get(self, spark: SparkSession, name: str) -> DataFrame:
         found = self.given.get(name)
@@ -65,6 +71,22 @@ def read_pages(manuscripts: DataFrame, inputs: Inputs) -> tuple[DataFrame, DataF
     return papers, entries, cites.withColumn("section", F.lit(None).cast("string"))
 
 
+def cited_texts(refs: DataFrame, resolved: DataFrame, inputs: Inputs) -> tuple[DataFrame, DataFrame, int]:
+    """Full texts of cited works (KEY, full_text), the files fetched for them (cache_key, body), and how often there was no e-mail to ask with."""
+    first = F.get("record.authors", F.lit(0))
+    keyed = resolved.where("record IS NOT NULL").select(*resolution.KEY, M.cache_key(F.col("record.doi"), F.lit(None).cast("string"), F.col("record.title"), first).alias("cache_key"))
+    keyed = stored(keyed, "cited-keys")
+    known = keyed.join(inputs.pdfs.select("cache_key", "body"), "cache_key") if inputs.pdfs is not None else None
+    places = stored(lookups.open_access_urls(resolved, refs, inputs.ask, inputs.email), "cited-places")
+    wanted = places if known is None else places.join(known.select(*resolution.KEY), resolution.KEY, "left_anti")
+    bodies = verification.first_full_text(probing.fetch_pdfs(wanted, inputs.send)).join(keyed, resolution.KEY)
+    bodies = stored(bodies.select(*resolution.KEY, "cache_key", "body"), "cited-bodies")
+    every = bodies if known is None else bodies.unionByName(known.select(*resolution.KEY, "cache_key", "body"))
+    texts = every.select(*resolution.KEY, pdf.full_text(F.col("body"), inputs.extract).alias("full_text")).where("full_text IS NOT NULL")
+    new = bodies.groupBy("cache_key").agg(F.min_by("body", F.struct(*resolution.KEY)).alias("body"))
+    return stored(texts, "cited-texts"), new, places.where("unpaywall_skipped").count()
+
+
 def run(manuscripts: DataFrame, inputs: Inputs | None = None) -> dict[str, DataFrame]:
     """manuscripts: paper_id, tex_text, bib_text, checklist_text[, pages, venue_id, authors] -> the tables of a review, among them reviews (paper_id, markdown) and exit_codes.
 
@@ -92,7 +114,9 @@ def run(manuscripts: DataFrame, inputs: Inputs | None = None) -> dict[str, DataF
         every = stored(papers.unionByName(page_papers, allowMissingColumns=True), "papers-all")
     else:
         page_papers, cites_all = None, cites
-    links = stored(tables.link_outcomes(tex.links(sources, entries).join(inputs.get(spark, "probes"), "url", "left")), "links")
+    named = stored(tex.links(sources, entries), "links-named")
+    probes = probing.probe_links(named, inputs.send) if inputs.send is not None and "probes" not in inputs.given else inputs.get(spark, "probes")
+    links = stored(tables.link_outcomes(named.join(probes, "url", "left")), "links")
     broken, unused = stored(tex.broken_refs(sources), "broken"), stored(tex.unused_keys(entries, cites), "unused")
     items = stored(checklist.items(sources), "checklist")
     checked = stored(checklist.audit(items, papers, links), "checked")
@@ -114,12 +138,16 @@ def run(manuscripts: DataFrame, inputs: Inputs | None = None) -> dict[str, DataF
         resolved = resolution.with_retractions(resolved, inputs.get(spark, "retracted")).join(inputs.get(spark, "published"), ["paper_id", "ref_id"], "left")
     judge = inputs.judge or (judging.model_judge(inputs.writer) if inputs.writer is not None and "answers" not in inputs.given else verification.table_judge(inputs.get(spark, "answers")))
     resolved = stored(resolved, "resolutions")
-    verified = stored(verification.verify(cites_all, refs, resolved, inputs.get(spark, "full_texts"), judge, inputs.model, inputs.verdicts), "verifications")
+    texts, new_pdfs, skipped = inputs.get(spark, "full_texts"), None, 0
+    if inputs.ask is not None and inputs.send is not None and "full_texts" not in inputs.given:
+        texts, new_pdfs, skipped = cited_texts(refs, resolved, inputs)
+    verified = stored(verification.verify(cites_all, refs, resolved, texts, judge, inputs.model, inputs.verdicts), "verifications")
     covered = stored(coverage.coverage(verified), "coverage")
     grouped = stored(coverage.groups(verified), "groups")
     blockers = submission.gate_blockers(found)
     artifacts = stored(tables.artifacts(every, links), "artifacts")
-    claimed = tables.artifact_outcomes(artifacts.join(inputs.get(spark, "artifact_probes"), ["artifact_kind", "identifier"]))
+    probed = probing.probe_artifacts(artifacts, inputs.send) if inputs.send is not None and "artifact_probes" not in inputs.given else inputs.get(spark, "artifact_probes")
+    claimed = stored(tables.artifact_outcomes(artifacts.join(probed, ["artifact_kind", "identifier"])), "artifact-outcomes")
     decisions = stored(verification.venue_decisions(inputs.get(spark, "replies")), "decisions")
     if inputs.writer is not None and not {"prose", "adversary"} & {*inputs.given}:
         prompts = stored(judging.review_prompts(every, refs, found, grouped), "prompts")
@@ -135,7 +163,7 @@ def run(manuscripts: DataFrame, inputs: Inputs | None = None) -> dict[str, DataF
         report.title_section(every), report.coverage_section(covered), report.finding_sections(found, ran), report.assessment_section(every, counts, prose if inputs.show_rating else None),
         report.prose_sections(prose), report.reviewer_section(objections, adversary),
         report.citation_section(every, verified, refs), report.hygiene_section(verified, broken, unused, links),
-        report.artifact_section(claimed), report.openreview_section(verified, decisions), report.methodology_section(covered, inputs.model, counted),
+        report.artifact_section(claimed), report.openreview_section(verified, decisions), report.methodology_section(covered, inputs.model, counted, skipped),
     ])
     out = {
         "papers": every, "refs": refs, "citations": cites_all, "broken_refs": broken, "unused": unused, "links": links, "checklist_items": items, "findings": found,
@@ -143,7 +171,8 @@ def run(manuscripts: DataFrame, inputs: Inputs | None = None) -> dict[str, DataF
         "reviews": reviews, "exit_codes": coverage.exit_code(covered, blockers, inputs.gate, degraded), "new_baselines": submission.new_baselines(papers, baseline),
         "new_verdicts": verification.new_verdicts(verified),
     }
-    return out if new_records is None else out | {"new_records": new_records}
+    extra = {"new_records": new_records, "new_pdfs": new_pdfs}
+    return out | {k: v for k, v in extra.items() if v is not None}
 
 
 def register(result: dict[str, DataFrame], prefix: str = "review_") -> None:

@@ -54,20 +54,24 @@ def find_bibs(sources: DataFrame, files: DataFrame) -> DataFrame:
     return _first_existing(sources, names, files, "bib_path")
 
 
-def find_checklists(sources: DataFrame, files: DataFrame) -> DataFrame:
-    """path, text -> path, checklist_path: an input whose file name speaks of a checklist, else the usual sibling."""
+def find_checklists(sources: DataFrame, files: DataFrame, explicit: str | None = None) -> DataFrame:
+    """path, text -> path, checklist_path: the one named, beside the source or by its whole path, else an input whose file name speaks of a checklist, else the usual sibling."""
     inputs = F.transform(F.regexp_extract_all(T.strip_comments(F.col("text")), F.lit(r"\\input\s*\{([^{}]+)\}"), F.lit(1)), T.strip)
     inputs = F.filter(inputs, lambda n: F.contains(F.lower(F.regexp_extract(n, "[^/]*$", 0)), F.lit("checklist")))
     names = F.concat(F.transform(inputs, lambda n: with_suffix(n, ".tex", True)), F.array(F.lit(CHECKLIST)))
-    return _first_existing(sources, names, files, "checklist_path")
+    if explicit is None:
+        return _first_existing(sources, names, files, "checklist_path")
+    if "/" in explicit:
+        return sources.select("path").join(files.where(F.col("path").endswith(explicit)).groupBy().agg(F.min("path").alias("checklist_path")).where("checklist_path IS NOT NULL"))  # one row
+    return _first_existing(sources, F.concat(F.array(F.lit(explicit)), names), files, "checklist_path")
 
 
-def manuscripts(spark: SparkSession, path: str) -> DataFrame:
+def manuscripts(spark: SparkSession, path: str, checklist: str | None = None) -> DataFrame:
     """paper_id, tex_text, bib_text, checklist_text of every TeX file with a document under a folder."""
     tex, bib = read_texts(spark, path, "*.tex"), read_texts(spark, path, "*.bib")
     main = tex.where(F.regexp_like("text", F.lit(r"\\begin\s*\{document\}")))
     b = find_bibs(main, bib).join(bib.select(F.col("path").alias("bib_path"), F.col("text").alias("bib_text")), "bib_path")
-    c = find_checklists(main, tex).join(tex.select(F.col("path").alias("checklist_path"), F.col("text").alias("checklist_file")), "checklist_path")
+    c = find_checklists(main, tex, checklist).join(tex.select(F.col("path").alias("checklist_path"), F.col("text").alias("checklist_file")), "checklist_path")
     rows = main.join(b.select("path", "bib_text"), "path", "left").join(c.select("path", "checklist_file"), "path", "left")
     inline = F.when(F.regexp_like("text", F.lit(r"\\checksubsection\b")), F.col("text"))
     return rows.select(F.col("path").alias("paper_id"), F.col("text").alias("tex_text"), "bib_text", F.coalesce("checklist_file", inline).alias("checklist_text"))
@@ -86,6 +90,21 @@ def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return stored.join(new, key, "left_anti").unionByName(new)
 
 
+def append_store(new: DataFrame, path: str) -> None:
+    """Adds rows of a run to a store; earlier ones of the same key stay and are read no more."""
+    new.withColumn("written_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def read_store(spark: SparkSession, path: str, key: str) -> DataFrame | None:
+    """The latest row of each key of a store, or None if there is no such store yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    rows = spark.read.option("mergeSchema", "true").parquet(path)
+    value = F.struct(*[c for c in rows.columns if c not in (key, "written_at")])
+    return rows.groupBy(key).agg(F.max_by(value, "written_at").alias("x")).select(key, "x.*")
+
+
 def replay_breaker(events: DataFrame, consecutive: int = 5, retries: int = 8) -> DataFrame:
     """Recorded requests through each source's circuit breaker: events has source, ord, failed, attempts_over.
 
