@@ -405,10 +405,21 @@ def anonymous_fields(spark, sf):
     return X.PAPERS.df(spark).select("paper_id", anonymity.is_anonymous(F.col("author_block")).alias("block_anonymous"), anonymity.is_anonymous(F.col("acknowledgments")).alias("thanks_anonymous"))
 
 
-@query()
+PLANTED = ". The accuracy of {percent}.5% is ours. Train 600 / val 100 / test 100 of {total} samples in total."
+
+
+@query(
+    """WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS paper_id, 60 + doc_id % 90 AS percent, 800 + 50 * (doc_id % 3) AS total FROM documents)
+    SELECT paper_id, 'bounded_metric' AS kind, 'a accuracy of ' || percent || '.5% is above 100%; check the number' AS detail FROM d WHERE percent >= 100
+    UNION ALL SELECT paper_id, 'split_mismatch', 'train+val+test = 600+100+100 = 800, but the total is said to be ' || total FROM d WHERE total > 800"""
+)
 def numeric_findings_in_documents(spark, sf):
-    """The number detectors over every text; spans have no SQL, so they are tested on planted and benign sentences."""
-    rows = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.col("text").alias("body"), F.col("text").alias("tex_text"), F.lit(None).cast("string").alias("abstract"))
+    """The number detectors over every text, each with a sentence added whose numbers follow its id: those that cannot be are found, and nothing else in the texts is."""
+    head, rest = PLANTED.split("{percent}")
+    middle, tail = rest.split("{total}")
+    said = F.concat(F.lit(head), (60 + F.col("doc_id") % 90).cast("string"), F.lit(middle), (800 + 50 * (F.col("doc_id") % 3)).cast("string"), F.lit(tail))
+    text = F.concat(F.coalesce("text", F.lit("")), said)
+    rows = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), text.alias("body"), text.alias("tex_text"), F.lit(None).cast("string").alias("abstract"))
     return findings.numbered(findings.union([numbers.bounded_metrics(rows), numbers.split_arithmetic(rows), numbers.mean_std(rows)])).select("paper_id", "kind", "detail")
 
 
@@ -440,10 +451,21 @@ def references_resolved(spark, sf):
     return out.select("paper_id", "ref_id", "status", "record.source", "record.doi", F.col("match_note").isNotNull().alias("is_weak"), "is_retracted", F.col("published_version.venue").alias("published_in"), F.size("near_misses").alias("n_near"))
 
 
-@query()
+@query(
+    r"""WITH j AS (SELECT n, source, payload, CASE WHEN source <> 'arxiv' THEN CAST(payload AS JSON) END AS p FROM payloads),
+x AS (SELECT n, source, regexp_replace(regexp_extract(payload, '<id>(.*?)</id>', 1), '\s+', ' ', 'g') AS id, payload FROM j WHERE source = 'arxiv')
+SELECT n, source, coalesce(p->>'$.title[0]', '') AS title,
+  array_to_string(list_filter(list_transform(coalesce(CAST(p->'$.author' AS JSON[]), []), lambda a: trim(coalesce(a->>'$.given', '') || ' ' || coalesce(a->>'$.family', ''))), lambda s: s <> ''), '; ') AS authors,
+  CAST(p->>'$.issued."date-parts"[0][0]' AS INTEGER) AS year, coalesce(p->>'$."container-title"[0]', p->>'$.publisher') AS venue, lower(p->>'$.DOI') AS doi, 'https://doi.org/' || (p->>'$.DOI') AS url, regexp_replace(p->>'$.abstract', '<[^>]+>', '', 'g') AS abstract FROM j WHERE source = 'crossref'
+UNION ALL SELECT n, source, p->>'$.title', array_to_string(list_filter(list_transform(coalesce(CAST(p->'$.authors' AS JSON[]), []), lambda a: a->>'$.name'), lambda s: s <> ''), '; '), CAST(p->>'$.year' AS INTEGER), p->>'$.venue', lower(p->>'$.externalIds.DOI'), coalesce('https://doi.org/' || lower(p->>'$.externalIds.DOI'), 'https://arxiv.org/abs/' || lower(p->>'$.externalIds.ArXiv')), p->>'$.abstract' FROM j WHERE source = 'semanticscholar'
+UNION ALL SELECT n, source, p->>'$.title', array_to_string(list_transform(coalesce(CAST(p->'$.authorships' AS JSON[]), []), lambda a: a->>'$.author.display_name'), '; '), CAST(p->>'$.publication_year' AS INTEGER), p->>'$.primary_location.source.display_name', lower(replace(p->>'$.doi', 'https://doi.org/', '')), p->>'$.doi',
+  (SELECT string_agg(w, ' ' ORDER BY k) FROM (SELECT w, unnest(CAST(p->'$.abstract_inverted_index'->w AS INTEGER[])) AS k FROM (SELECT unnest(json_keys(p->'$.abstract_inverted_index')) AS w))) FROM j WHERE source = 'openalex'
+UNION ALL SELECT n, source, regexp_replace(regexp_extract(payload, '(?s)<title>(.*?)</title>', 1), '\s+', ' ', 'g'), array_to_string(regexp_extract_all(payload, '<author><name>(.*?)</name>', 1), '; '), CAST(substr(regexp_extract(payload, '<published>(.*?)</published>', 1), 1, 4) AS INTEGER), 'arXiv', NULL, id, replace(regexp_extract(payload, '<summary>(.*?)</summary>', 1), '&amp;', '&') FROM x WHERE NOT contains(id, '/api/errors')""",
+    (sources.PAYLOADS,),
+)
 def payload_records(spark, sf):
-    """Source answers to records: nested JSON and Atom, tested on one of each."""
-    p = sources.payload_rows(spark)
+    """Source answers to records: nested JSON and Atom."""
+    p = sources.PAYLOADS.df(spark)
     made = F.when(F.col("source") == "crossref", payloads.crossref(F.col("payload"))).when(F.col("source") == "semanticscholar", payloads.semantic_scholar(F.col("payload"))).when(F.col("source") == "openalex", payloads.openalex(F.col("payload"))).otherwise(payloads.arxiv(F.col("payload")))
     return p.select("n", made.alias("r")).where("r IS NOT NULL").select("n", "r.source", "r.title", F.array_join("r.authors", "; ").alias("authors"), "r.year", "r.venue", "r.doi", "r.url", "r.abstract")
 
