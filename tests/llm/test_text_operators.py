@@ -554,10 +554,22 @@ def test_line_dedup_odd_rows(spark):
     assert sorted((r["n_lines"], r["n_removed"]) for r in counted) == [(0, 0), (2, 0)]
 
 
-def test_native_operators_have_no_python_in_their_plans(spark):
-    docs = documents(spark, [(i, prose(i, 80)) for i in range(20)])
-    for df in (mixing.mix(docs), linededup.dedup(docs)):
-        assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
+def test_native_operators_have_no_python_in_any_plan(spark, monkeypatch):
+    """The plan of every table that is written on the way, and the last one."""
+    plans, plain = [], common.table
+    told = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def table(df, label):
+        plans.append(told(df))
+        return plain(df, label)
+
+    monkeypatch.setattr(common, "table", table)
+    docs = documents(spark, [(i, prose(i % 15, 80)) for i in range(20)])
+    for make in (mixing.mix, linededup.dedup):
+        before = len(plans)
+        plans.append(told(make(docs)))
+        assert len(plans) > before + 2
+    assert not [p for p in plans if re.search("Python|Pandas|Arrow", p)]
 
 
 def test_schema_is_that_of_documents():
