@@ -9,8 +9,8 @@ Search, in three steps, of which only the last reads original vectors:
 
 1. Codes: a query's rotated coordinates are cut to PLANES bits, so its inner product with a code is a few
    popcounts of packed words. That, the scalars and the query's product with the centre estimate the inner
-   product, and the estimate has a known error. A query's K-th best in the sample is a floor from the start: a cell
-   whose best possible product, by its centre and radius, is below it is skipped. A task returns per query the
+   product, and the estimate has a known error. A query's K-th best in the sample is a floor from the start: a query
+   goes to no cell whose best possible product, by its centre and radius, is below it. A task returns per query the
    candidates whose upper bound reaches the floor and the query's K-th best lower bound of the block.
 2. Merge: the K-th best lower bound over all blocks leaves the candidates whose upper bound reaches it.
 3. Rerank: blocks of original vectors meet the queries that still ask for them, and exact products in
@@ -240,33 +240,45 @@ def _search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
                     yield some.assign(floor=cells.floors(some["query_id"].to_numpy(), np.stack(some["query"].to_numpy()), k))
 
     asked = common.table(asked.mapInPandas(floored, f"query_id long, query {kind}, q_key long, floor double"), "nearest-queries")
-    n_q = max(1, -(-asked.count() // QUERY_BLOCK))
     # a cell's blocks of so many rows each; a row per length and cell
     blocks = index.groupBy(F.col("d").alias("b_d"), F.col("cell").alias("b_cell")).agg(F.ceil(F.count("*") / VECTOR_BLOCK).alias("parts"), F.max("norm").alias("radius"))
     blocks = common.table(blocks, "nearest-cells")
     part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part")
+    reach: dict[int, dict[int, float]] = {}  # a radius per length and cell
+    for r in blocks.collect():
+        reach.setdefault(r.b_d, {})[r.b_cell] = r.radius
+
+    def chosen(batches):
+        """The cells that may hold one of a query's k best."""
+        for pdf in batches:
+            for d, part in pdf.groupby(pdf["query"].map(len)):
+                here = sorted(reach.get(d, ()))
+                if here:
+                    q, centres = np.stack(part["query"].to_numpy()).astype(np.float64), centres_of.get(d, np.zeros((1, d)))[here]
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        most = q @ centres.T + lengths(q)[:, None] * np.array([reach[d][c] for c in here])[None, :]
+                    may = ~(most < part["floor"].to_numpy()[:, None])
+                    yield part.assign(d=np.int32(d), cells=[np.array(here, np.int32)[m] for m in may])
+
+    asked_cells = common.table(asked.mapInPandas(chosen, f"query_id long, query {kind}, q_key long, floor double, d int, cells array<int>").where("size(cells) > 0"), "nearest-asked")
+    n_q = max(1, -(-asked_cells.count() // QUERY_BLOCK))
     q_block = F.pmod(F.xxhash64("query_id", "q_key"), F.lit(n_q)).cast("int").alias("q")
-    index = index.join(F.broadcast(blocks), (F.col("d") == F.col("b_d")) & (F.col("cell") == F.col("b_cell"))).select("row", "vec_id", "d", "cell", "bits", "norm", "along", "radius", part)
+    index = index.join(F.broadcast(blocks), (F.col("d") == F.col("b_d")) & (F.col("cell") == F.col("b_cell"))).select("row", "vec_id", "d", "cell", "bits", "norm", "along", part)
     index = index.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    pairs = asked.select("query_id", "q_key", "query", "floor", F.size("query").alias("d"), q_block)
-    pairs = pairs.join(F.broadcast(blocks), F.col("d") == F.col("b_d")).select("query_id", "q_key", "query", "floor", "q", "d", F.col("b_cell").alias("cell"), F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"))
+    pairs = asked_cells.select("query_id", "q_key", "query", "floor", "d", q_block, F.explode("cells").alias("cell"))
+    pairs = pairs.join(F.broadcast(blocks), (F.col("d") == F.col("b_d")) & (F.col("cell") == F.col("b_cell"))).select("query_id", "q_key", "query", "floor", "q", "d", "cell", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"))
 
     def first(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
             d, cell = int(left["d"].iloc[0]), int(left["cell"].iloc[0])
-            centre, radius = centres_of.get(d, np.zeros((1, d)))[cell], right["radius"].iloc[0]
+            centre = centres_of.get(d, np.zeros((1, d)))[cell]
             bits = np.frombuffer(b"".join(right["bits"]), np.uint64).reshape(len(right), -1)
             ids, row, norm, along = (right[c].to_numpy() for c in ("vec_id", "row", "norm", "along"))
             for at in range(0, len(left), 256):
                 some = left.iloc[at : at + 256]
-                q = np.stack(some["query"].to_numpy()).astype(np.float64)
-                with np.errstate(over="ignore", invalid="ignore"):
-                    may = ~(q @ centre + lengths(q) * radius < some["floor"].to_numpy())
-                some, q = some[may], q[may]
-                if len(some):
-                    best = block_search(q, some["query_id"].to_numpy(), some["floor"].to_numpy(), ids, bits, norm, along, centre, k)
-                    out += [(i, key, cell, row[place], np.nextafter(high.astype(np.float32), np.float32(np.inf)), low) for (place, high, low), i, key in zip(best, some["query_id"], some["q_key"])]
+                best = block_search(np.stack(some["query"].to_numpy()), some["query_id"].to_numpy(), some["floor"].to_numpy(), ids, bits, norm, along, centre, k)
+                out += [(i, key, cell, row[place], np.nextafter(high.astype(np.float32), np.float32(np.inf)), low) for (place, high, low), i, key in zip(best, some["query_id"], some["q_key"])]
         return pd.DataFrame(out, columns=["query_id", "q_key", "cell", "rows", "high", "low"])
 
     keys = ["d", "cell", "part", "q"]
