@@ -45,8 +45,8 @@ PART = 8
 LONG, BLOCK_WORDS = 120, 12
 #: Cells worked on at a time.
 CELLS = 3 << 20
-#: Bytes of text of a range, and sampled keys that its limits are chosen from.
-RANGE_BYTES, RANGE_KEYS = 8 << 20, 20
+#: Bytes of text of a range, sampled keys that its limits are chosen from, and ranges at most: of a larger corpus each streams more.
+RANGE_BYTES, RANGE_KEYS, MOST_RANGES = 8 << 20, 20, 16_384
 LAST_ID = (1 << 63) - 1
 SENTENCE = re.compile(r"(?<=[.!?]) ")
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -236,7 +236,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("did"), common.text_key().alias("tk"), F.coalesce("text", F.lit("")).alias("text"))
     keys = common.table(rows.select("did", "tk", F.octet_length("text").cast("long").alias("size")), "ranges-keys")
     size, n = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    wanted = max(1, min(n, -(-size // RANGE_BYTES)))
+    wanted = max(1, min(n, MOST_RANGES, -(-size // RANGE_BYTES)))
     limits = []
     if wanted > 1:
         some = keys.sample(fraction=min(1.0, RANGE_KEYS * wanted / n), seed=7).select("did", "tk").distinct().sort("did", "tk").collect()  # about RANGE_KEYS a range
