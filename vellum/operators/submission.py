@@ -24,7 +24,7 @@ def with_rules(papers: DataFrame, venue_rules: DataFrame) -> DataFrame:
     unknown = papers.where("venue_id IS NOT NULL").select("venue_id").distinct().join(venue_rules, "venue_id", "left_anti").take(1)
     if unknown:
         raise ValueError(f"unknown venue {unknown[0][0]!r}")
-    return papers.join(F.broadcast(venue_rules), "venue_id")  # a row per venue
+    return papers.join(venue_rules, "venue_id")
 
 
 def marker(text: Column) -> Column:
