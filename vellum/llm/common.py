@@ -107,6 +107,11 @@ def is_small(df: DataFrame, rows: int | None = None, size: int | None = None) ->
     return said <= size and df.limit(rows + 1).count() <= rows
 
 
-def join_small(df: DataFrame, small: DataFrame, on: Column, how: str = "inner") -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it is small."""
+    return F.broadcast(df) if is_small(df) else df
+
+
+def join_small(df: DataFrame, side: DataFrame, on: Column, how: str = "inner") -> DataFrame:
     """df joined with a side that is broadcast only if it is small; else a shuffled join, which AQE splits where a key is hot."""
-    return df.join(F.broadcast(small) if is_small(small) else small, on, how)
+    return df.join(F.broadcast(side) if is_small(side) else side, on, how)

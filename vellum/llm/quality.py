@@ -134,17 +134,18 @@ def train(docs: DataFrame) -> DataFrame:
     some = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
     cut = lambda k: F.when(some, F.least(F.greatest(k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}")), F.lit(0.05)), F.lit(k - 0.05))).otherwise(0.5 + 0.25 * (k > 1))
     d = common.table(d.select("lang", "n", *[cut(k).alias(f"d{k}") for k in (1, 2, 3)]), "kn-discounts")  # a row per language and order
-    grams = grams.join(F.broadcast(d), ["lang", "n"])
+    grams = grams.join(common.small(d), ["lang", "n"])
     grams = grams.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
     contexts = grams.groupBy("lang", "n", F.expr("substring(g, 1, n - 1)").alias("h")).agg(F.sum("c").alias("total"), F.sum("d").alias("spare"))
     contexts = common.table(contexts.withColumn("back", F.col("spare") / F.col("total")), "kn-contexts")
     grams = grams.withColumn("h", F.expr("substring(g, 1, n - 1)")).join(contexts, ["lang", "n", "h"])
     grams = common.table(grams.select("lang", "n", "g", ((F.col("c") - F.col("d")) / F.col("total")).alias("own"), "back"), "kn-own")
     letters = grams.where("n = 1").groupBy("lang").agg((F.count("*") + 1).alias("letters"))
-    lower = grams.where("n = 1").join(F.broadcast(letters), "lang")  # a row per language
+    letters = common.small(common.table(letters, "kn-letters"))  # a row per language
+    lower = grams.where("n = 1").join(letters, "lang")
     lower = lower.select("lang", "g", (F.col("own") + F.col("back") / F.col("letters")).alias("p"))
     row = lambda df, n, kind, g, value: df.select("lang", F.lit(n).alias("n"), F.lit(kind).alias("kind"), F.col(g).alias("g"), F.log(value).alias("value"))
-    unseen = contexts.where("n = 1").join(F.broadcast(letters), "lang")
+    unseen = contexts.where("n = 1").join(letters, "lang")
     out = row(lower, 1, "p", "g", F.col("p")).unionByName(row(unseen, 0, "p", "h", F.col("back") / F.col("letters")))
     for n in range(2, ORDER + 1):
         this = grams.where(F.col("n") == n).withColumn("tail", F.expr("substring(g, 2)"))
