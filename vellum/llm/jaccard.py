@@ -155,14 +155,11 @@ def sign(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
     return docs.mapInArrow(run, "did long, tk long, set_a long, set_b long, n long, sig binary")
 
 
-def tree_keys(sigs: DataFrame, trees: int, depths: list[int], most: int = MAX_DEPTH) -> DataFrame:
-    """rid, sig[, tree] -> rid, tree, depth, prefix: the nodes of each text at the given depths, in all trees or the one named."""
+def tree_keys(sigs: DataFrame, trees: int, lowest: int, most: int = MAX_DEPTH) -> DataFrame:
+    """rid, sig -> rid, tree, path: the nodes of each text in a tree, from the prefix of the lowest depth to the longest."""
     width = 4 * most
-    here = lambda t, d: F.xxhash64(F.substring("sig", F.lit(1) + t * width, F.lit(4 * d)))
-    if "tree" in sigs.columns:
-        each = F.array(*[F.struct(F.lit(d).alias("depth"), here(F.col("tree"), d).alias("prefix")) for d in depths])
-        return sigs.select("rid", "tree", F.explode(each).alias("x")).select("rid", "tree", "x.*")
-    each = F.array(*[F.struct(F.lit(t).alias("tree"), F.lit(d).alias("depth"), here(F.lit(t), d).alias("prefix")) for t in range(trees) for d in depths])
+    path = lambda t: F.array(*[F.xxhash64(F.substring("sig", 1 + t * width, 4 * d)) for d in range(lowest, most + 1)])
+    each = F.array(*[F.struct(F.lit(t).alias("tree"), path(t).alias("path")) for t in range(trees)])
     return sigs.select("rid", F.explode(each).alias("x")).select("rid", "x.*")
 
 
@@ -188,13 +185,11 @@ def stop_depth(company: DataFrame, lowest: int, most: int, trees: int, threshold
 def meetings(reps: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, most: int = MAX_DEPTH) -> DataFrame:
     """rid, sig -> node, rid, asks, n_here: the texts that meet under a node, and whether a text stopped there; nodes where none did are left out."""
     lowest = depth_for(threshold, trees, most, recall)
-    keyed = tree_keys(reps, trees, [lowest])
+    keyed = tree_keys(reps, trees, lowest, most).withColumn("prefix", F.get("path", F.lit(0)))
     crowded = keyed.groupBy(F.col("tree").alias("c_tree"), F.col("prefix").alias("c_prefix")).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     rows = common.join_small(keyed, common.table(crowded, "jaccard-crowded"), (F.col("tree") == F.col("c_tree")) & (F.col("prefix") == F.col("c_prefix")))
-    rows = common.table(rows.select("rid", "tree"), "jaccard-company")
-    rows = rows.groupBy("rid").agg(F.collect_list("tree").alias("in_trees"))  # at most `trees` of them
-    rows = reps.select(F.col("rid").alias("s_rid"), "sig").join(rows, F.col("s_rid") == F.col("rid")).select("rid", "sig", F.explode("in_trees").alias("tree"))
-    paths = common.table(tree_keys(rows, trees, [*range(lowest, most + 1)], most), "jaccard-paths")
+    paths = rows.select("rid", "tree", F.posexplode("path").alias("k", "prefix")).select("rid", "tree", (F.col("k") + lowest).alias("depth"), "prefix")
+    paths = common.table(paths, "jaccard-paths")
     nodes = paths.groupBy(F.col("tree").alias("n_tree"), F.col("depth").alias("n_depth"), F.col("prefix").alias("n_prefix")).agg(F.count("*").alias("n_here"), F.bit_xor(F.xxhash64("rid")).alias("all_a"), F.bit_xor(F.xxhash64("rid", F.lit(1))).alias("all_b")).where("n_here > 1")
     nodes = nodes.withColumn("node", F.xxhash64("n_here", "all_a", "all_b", "n_depth")).drop("all_a", "all_b")
     same = (F.col("tree") == F.col("n_tree")) & (F.col("depth") == F.col("n_depth")) & (F.col("prefix") == F.col("n_prefix"))
