@@ -177,7 +177,7 @@ class Cells:
 
 
 def build_index(rows: DataFrame, centres_of: dict[int, np.ndarray]) -> DataFrame:
-    """row, vec_id, embedding -> row (its number), vec_id, d, cell, bits, norm, along: all a first pass needs."""
+    """row, vec_id, embedding -> row (its number), vec_id, d, cell, bits, norm, along: all a first pass needs; and embedding, a column that only the last step reads."""
 
     def run(batches):
         for pdf in batches:
@@ -188,9 +188,10 @@ def build_index(rows: DataFrame, centres_of: dict[int, np.ndarray]) -> DataFrame
                 for c in np.unique(own):
                     at = np.flatnonzero(own == c)
                     bits, norm, along = encode(v[at], centres[c])
-                    yield pd.DataFrame({"row": part["row"].to_numpy()[at], "vec_id": part["vec_id"].to_numpy()[at], "d": np.int32(d), "cell": np.int32(c), "bits": [b.tobytes() for b in bits], "norm": norm, "along": along.astype(np.float32)})
+                    yield pd.DataFrame({"row": part["row"].to_numpy()[at], "vec_id": part["vec_id"].to_numpy()[at], "d": np.int32(d), "cell": np.int32(c), "bits": [b.tobytes() for b in bits], "norm": norm, "along": along.astype(np.float32), "embedding": part["embedding"].to_numpy()[at]})
 
-    return rows.select("row", "vec_id", "embedding").mapInPandas(run, "row long, vec_id long, d int, cell int, bits binary, norm double, along float")
+    kind = dict(rows.dtypes)["embedding"]
+    return rows.select("row", "vec_id", "embedding").mapInPandas(run, f"row long, vec_id long, d int, cell int, bits binary, norm double, along float, embedding {kind}")
 
 
 def block_search(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, ids: np.ndarray, bits: np.ndarray, norm: np.ndarray, along: np.ndarray, centre: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -263,7 +264,9 @@ def _search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     asked_cells = common.table(asked.mapInPandas(chosen, f"query_id long, query {kind}, q_key long, floor double, d int, cells array<int>").where("size(cells) > 0"), "nearest-asked")
     n_q = max(1, -(-asked_cells.count() // QUERY_BLOCK))
     q_block = F.pmod(F.xxhash64("query_id", "q_key"), F.lit(n_q)).cast("int").alias("q")
-    index = index.join(F.broadcast(blocks), (F.col("d") == F.col("b_d")) & (F.col("cell") == F.col("b_cell"))).select("row", "vec_id", "d", "cell", "bits", "norm", "along", part)
+    index = index.join(F.broadcast(blocks), (F.col("d") == F.col("b_d")) & (F.col("cell") == F.col("b_cell")))
+    stored = index.select("row", "vec_id", "embedding", "d", "cell", part)
+    index = index.select("row", "vec_id", "d", "cell", "bits", "norm", "along", part)
     index = index.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
     pairs = asked_cells.select("query_id", "q_key", "query", "floor", "d", q_block, F.explode("cells").alias("cell"))
     pairs = pairs.join(F.broadcast(blocks), (F.col("d") == F.col("b_d")) & (F.col("cell") == F.col("b_cell"))).select("query_id", "q_key", "query", "floor", "q", "d", "cell", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("part"))
@@ -271,30 +274,28 @@ def _search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     def first(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            d, cell = int(left["d"].iloc[0]), int(left["cell"].iloc[0])
+            d, cell, number = int(left["d"].iloc[0]), int(left["cell"].iloc[0]), int(left["part"].iloc[0])
             centre = centres_of.get(d, np.zeros((1, d)))[cell]
             bits = np.frombuffer(b"".join(right["bits"]), np.uint64).reshape(len(right), -1)
             ids, row, norm, along = (right[c].to_numpy() for c in ("vec_id", "row", "norm", "along"))
             for at in range(0, len(left), 256):
                 some = left.iloc[at : at + 256]
                 best = block_search(np.stack(some["query"].to_numpy()), some["query_id"].to_numpy(), some["floor"].to_numpy(), ids, bits, norm, along, centre, k)
-                out += [(i, key, cell, row[place], np.nextafter(high.astype(np.float32), np.float32(np.inf)), low) for (place, high, low), i, key in zip(best, some["query_id"], some["q_key"])]
-        return pd.DataFrame(out, columns=["query_id", "q_key", "cell", "rows", "high", "low"])
+                out += [(i, key, d, cell, number, row[place], np.nextafter(high.astype(np.float32), np.float32(np.inf)), low) for (place, high, low), i, key in zip(best, some["query_id"], some["q_key"])]
+        return pd.DataFrame(out, columns=["query_id", "q_key", "d", "cell", "part", "rows", "high", "low"])
 
     keys = ["d", "cell", "part", "q"]
-    found = pairs.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInPandas(first, "query_id long, q_key long, cell int, rows array<long>, high array<float>, low array<double>")
+    found = pairs.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInPandas(first, "query_id long, q_key long, d int, cell int, part int, rows array<long>, high array<float>, low array<double>")
     found = common.table(found, "nearest-candidates")
     # the k-th best lower bound over all blocks: each told its k best, merged in two steps
     top = lambda c: F.slice(F.sort_array(c, asc=False), 1, k).alias("low")
-    low = found.groupBy("query_id", "q_key", F.pmod("cell", F.lit(64))).agg(top(F.flatten(F.collect_list("low"))))
+    low = found.groupBy("query_id", "q_key", F.pmod(F.xxhash64("cell", "part"), F.lit(64))).agg(top(F.flatten(F.collect_list("low"))))
     low = low.groupBy(F.col("query_id").alias("l_id"), F.col("q_key").alias("l_key")).agg(top(F.flatten(F.collect_list("low"))))
     low = common.table(low.select("l_id", "l_key", F.when(F.size("low") == k, F.element_at("low", -1)).otherwise(float("-inf")).alias("least")), "nearest-floors")
     left = common.join_small(found, low, (F.col("query_id") == F.col("l_id")) & (F.col("q_key") == F.col("l_key")))
-    left = left.select("query_id", "q_key", F.explode(F.arrays_zip("rows", "high")).alias("x"), "least").where(F.col("x.high") >= F.col("least"))
-    n_v = max(1, -(-total // VECTOR_BLOCK))
-    block = F.pmod(F.xxhash64("row"), F.lit(n_v)).cast("int").alias("v")
-    wanted = left.select("query_id", "q_key", F.col("x.rows").alias("row")).select("query_id", "q_key", "row", block)
-    wanted = wanted.groupBy("v", "query_id", "q_key").agg(F.collect_list("row").alias("rows"))  # at most a block's
+    # a block's candidates stay one array per query: no row per pair is made
+    stays = F.filter("rows", lambda _, i: F.get("high", i) >= F.col("least"))
+    wanted = left.select("query_id", "q_key", "d", "cell", "part", stays.alias("rows")).where("size(rows) > 0")
     wanted = wanted.join(asked.select(F.col("query_id").alias("a_id"), F.col("q_key").alias("a_key"), "query"), (F.col("query_id") == F.col("a_id")) & (F.col("q_key") == F.col("a_key")))
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -310,8 +311,8 @@ def _search(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
                 out.append((query_id, q_key, score[order], ids[at][order]))
         return pd.DataFrame(out, columns=["query_id", "q_key", "score", "vec_id"])
 
-    stored = rows.select("row", "vec_id", "embedding", block)
-    best = wanted.select("v", "query_id", "q_key", "query", "rows").groupBy("v").cogroup(stored.groupBy("v")).applyInPandas(rerank, "query_id long, q_key long, score array<double>, vec_id array<long>")
+    place = ["d", "cell", "part"]
+    best = wanted.select(*place, "query_id", "q_key", "query", "rows").groupBy(*place).cogroup(stored.groupBy(*place)).applyInPandas(rerank, "query_id long, q_key long, score array<double>, vec_id array<long>")
     best = best.select("query_id", "q_key", F.zip_with("score", "vec_id", lambda s, i: F.struct((-s).alias("less"), i.alias("vec_id"))).alias("best"))
     merge = lambda c: F.slice(F.array_sort(F.flatten(F.collect_list(c))), 1, k).alias("best")
     best = best.groupBy("query_id", "q_key", F.pmod(F.xxhash64(F.element_at("best", 1)["vec_id"]), F.lit(64))).agg(merge("best")).groupBy("query_id", "q_key").agg(merge("best"))
