@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from vellum.functions import match as M
 from vellum.functions import text as T
 
+from . import linkage
+
 KEY = ["paper_id", "ref_id"]
 # The order of sources and phases, and the record types that count as published.
 SOURCES = ["crossref", "semanticscholar", "arxiv", "openalex"]
@@ -139,9 +141,7 @@ def title_classes(titles: DataFrame) -> DataFrame:
 
 def linked_titles(titles: DataFrame, threshold: float = M.TITLE_JACCARD) -> DataFrame:
     """id, title -> l_id, r_id of classes that match, each pair once; copies are told by title_classes and never paired."""
-    rows = titles.select("id", token_set(F.col("title")).alias("w")).where("w <> array('')")
-    reps = rows.groupBy("w").agg(F.min("id").alias("id")).select("id", F.array_join("w", " ").alias("title"))
-    return fuzzy_pairs(reps, reps, threshold, F.col("l_id") < F.col("r_id"))
+    return linkage.linked_sets(titles, threshold)
 
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, threshold: float = M.TITLE_JACCARD, only: Column | None = None) -> DataFrame:
